@@ -61,14 +61,15 @@ def _clean() -> None:
             drop_tables([path], spark)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], salt_on: list[str], amount: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], salt_on: list[str], amount: str | None = None, few_keys: bool = False) -> DataFrame:
     """Add __rank (from 0) inside each group of keys and, with amount, __before: the sum of amount over smaller ranks.
 
     A group's rows are dealt into about sqrt(rows) hash buckets of about
     sqrt(rows) rows, so that no task holds a whole group: a hot group of n
     rows needs tasks of sqrt(n) rows, and its buckets' totals are a second
     small prefix sum. Ranks follow (bucket, order); they depend on the data
-    alone. df is read twice and should be durable.
+    alone. df is read twice and should be durable. few_keys: the number of
+    groups has a bound, so their sizes may be broadcast.
     """
     sizes = df.groupBy(*keys).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("__buckets"))
     same = None
@@ -77,7 +78,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], salt_on: list[str],
         renamed = renamed.withColumnRenamed(k, f"__k_{k}")
         term = df[k].eqNullSafe(renamed[f"__k_{k}"])
         same = term if same is None else same & term
-    dealt = df.join(F.broadcast(renamed) if keys == ["length"] else renamed, same).drop(*[f"__k_{k}" for k in keys])
+    dealt = df.join(F.broadcast(renamed) if few_keys else renamed, same).drop(*[f"__k_{k}" for k in keys])
     dealt = dealt.withColumn("__bucket", F.pmod(F.xxhash64(*salt_on), F.col("__buckets")))
     total = F.sum(amount) if amount else F.lit(0).cast("long")
     sums = dealt.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"), (total if amount else F.max(total)).alias("__a"))

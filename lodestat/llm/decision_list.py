@@ -107,7 +107,7 @@ def _cuts(values: list[float]) -> list[float]:
     return sorted({*own, *((a + b) / 2 for a, b in zip(own, own[1:], strict=False))})
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_rules: int = 8, most_conditions: int = 3, least_precision: float = 0.9, least_covered: int = 5, cuts: int = 24) -> list[Rule]:
+def learn(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_rules: int = 8, most_conditions: int = 3, least_precision: float = 0.9, least_covered: int = 12, cuts: int = 24) -> list[Rule]:
     """Sequential covering for the class quality = 0. bound: labelled documents that are used, a parameter, not a share of the corpus."""
     rows = durable(training_table(docs, labels, bound).coalesce(4), "rules")
     shares = ", ".join(str((i + 1) / (cuts + 1)) for i in range(cuts))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list
+from . import decision_list, near_dups, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +17,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(docs, decision_list.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keeper")
+
+
 QUERIES: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_near_duplicates": op8_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
