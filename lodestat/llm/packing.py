@@ -17,7 +17,9 @@ are read.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,32 +29,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textvec
 from .common import durable, ranked
 
 CAPACITY, END = 2048, 0
 #: Distinct words whose ids a worker keeps; beyond it, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: The tokenizer's own split of a text, and the words for which Python's lower case and classes are known to agree with it.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile("[\x21-\x7e\xa1-\xff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 characters as the letters that byte-level vocabularies write their UTF-8 bytes with."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
 class _Ids(dict):
-    """Ids of a word, as little-endian bytes. The tokenizer drops white space and never joins across it, so words are encoded alone."""
+    """Ids of a word, as little-endian bytes, worked out when first asked for.
+
+    The tokenizer drops white space and never joins across it, so words are
+    encoded apart from their texts. A plain word goes through the tokenizer's
+    model directly, run by run; any other through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         super().__init__()
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters, self.runs = self.tokenizer.model, _byte_letters(), {}
+        self.split = regex.compile(_SPLIT).findall
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _run(self, run: str) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            ids = array("I", [x.id for x in self.model.tokenize(run.translate(self.letters))]).tobytes()
+            if len(run) <= 64:
+                if len(self.runs) >= REMEMBERED:
+                    self.runs.clear()
+                self.runs[run] = ids
+        return ids
+
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.encode(word)
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            ids = b"".join(map(self._run, self.split(word.lower())))
+        else:
+            ids = self.encode(word)
         if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
             self[word] = ids
         return ids
 
@@ -68,18 +104,18 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(path)
-        of = ids.__getitem__
         for batch in batches:
-            names, rows = batch.column("doc_id").to_pylist(), []
-            for name, text in zip(names, batch.column("text"), strict=True):
-                text = text.as_py() or ""
-                odd = not text.isprintable() and len(text.translate(_NOT_SPACE)) != len(text)
-                whole = (ids.encode(text) if odd else b"".join(map(of, text.split()))) + tail
-                for n, at in enumerate(range(0, len(whole), step)):
-                    part = whole[at : at + step]
-                    rows.append((name, n, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            for at, part in textvec.pieces(batch.column("text")):
+                texts, rows = [x or "" for x in part.to_pylist()], []
+                parted = [x.split() for x in texts]
+                for name, text, own in zip(batch.column("doc_id").slice(at, len(part)).to_pylist(), texts, parted, strict=True):
+                    odd = not text.isprintable() and len(text.translate(_NOT_SPACE)) != len(text)
+                    whole = (ids.encode(text) if odd else b"".join(map(ids.__getitem__, own))) + tail
+                    for n, start in enumerate(range(0, len(whole), step)):
+                        one = whole[start : start + step]
+                        rows.append((name, n, start // 4, len(one) // 4, zlib.crc32(one)))
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
 
