@@ -61,7 +61,7 @@ def _clean() -> None:
             drop_tables([path], spark)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], salt_on: list[str], amount: str | None = None, few_keys: bool = False) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], salt_on: list[str], amount: str | None = None, few_keys: bool = False, add: dict | None = None) -> DataFrame:
     """Add __rank (from 0) inside each group of keys and, with amount, __before: the sum of amount over smaller ranks.
 
     A group's rows are dealt into about sqrt(rows) hash buckets of about
@@ -69,8 +69,9 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], salt_on: list[str],
     rows needs tasks of sqrt(n) rows, and its buckets' totals are a second
     small prefix sum. Ranks follow (bucket, order); they depend on the data
     alone. df is read twice and should be durable. few_keys: the number of
-    groups has a bound, so their sizes may be broadcast.
+    groups has a bound, so their sizes may be broadcast. add: columns for order.
     """
+    df = df.withColumns(add) if add else df
     sizes = df.groupBy(*keys).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("__buckets"))
     same = None
     renamed = sizes

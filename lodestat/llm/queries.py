@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list, near_dups, packing
+from . import decision_list, mixing, near_dups, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(docs, decision_list.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scheduled(table(spark, sf_dir, "documents")).drop("key")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -32,6 +36,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_pfair_mixing": op2_pfair_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_near_duplicates": op8_near_duplicates,
