@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list, mixing, near_dups, packing
+from . import decision_list, mixing, near_dups, packing, pii
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +35,16 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keeper")
 
 
+def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_pfair_mixing": op2_pfair_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_pii_sanitisation": op9_pii_sanitisation,
 }
 
 ORACLE_SQL: dict[str, str] = {}
