@@ -46,7 +46,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def pieces(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+def pieces(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, pa.Array]]:
     """Runs of whole texts of about size bytes, with the place of the first; one longer text is a run of its own."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
