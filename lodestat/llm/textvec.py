@@ -11,6 +11,9 @@ import pyarrow.compute as pc
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Letters, digits and all bytes of characters beyond ASCII.
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -56,12 +59,16 @@ def pieces(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, pa.Array
         at = upto
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, the first byte of each word, and for each text the place of its first word (and one past the last)."""
+def words(data: np.ndarray, bounds: np.ndarray, letters: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hash of each word, the first byte of each word, and for each text the place of its first word (and one past the last).
+
+    letters: words are runs of letters and digits instead. prefixes: then the
+    hashes of each word's first so many bytes follow, of shorter words 0.
+    """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-    inside = ~_SPACE[data]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64), *[np.zeros(0, np.uint64) for _ in prefixes]
+    inside = _LETTER[data] if letters else ~_SPACE[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -74,7 +81,8 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    return mix((sums[e] - sums[s]) * down[s]), s, np.searchsorted(s, bounds)
+    heads = [np.where(e - s > size, mix((sums[np.minimum(s + size, n)] - sums[s]) * down[s] + np.uint64(size)), np.uint64(0)) for size in prefixes]
+    return mix((sums[e] - sums[s]) * down[s]), s, np.searchsorted(s, bounds), *heads
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
