@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decision_list, mixing, near_dups, packing, pii, quality, secrets, toxicity
+from . import ann, decision_list, licenses, mixing, near_dups, packing, pii, quality, secrets, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keeper")
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_license_scan": op7_license_scan,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_pii_sanitisation": op9_pii_sanitisation,
     "op10_nearest_neighbours": op10_nearest_neighbours,
