@@ -83,9 +83,9 @@ def disclosing(docs: DataFrame, found: DataFrame, least_texts: int = LEAST_TEXTS
     pairs = near.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.countDistinct("key").alias("texts"))
     pairs = durable(pairs.where(F.col("texts") >= least_texts), "near")
     entities = near.select("doc_id", "key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    terms = durable(pairs.select("term").distinct(), "terms")
     said = docs.select(F.explode(F.expr(rf"array_distinct(regexp_extract_all(lower({_TEXT}), r'{TERM}', 0))")).alias("term"))
-    with_term = said.join(sparing(terms, terms.count()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    # all words are counted, each task's first by itself; a join with the wanted ones before that would grow faster than the corpus
+    with_term = said.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     total = docs.count()
     rated = pairs.join(with_term, "term").join(entities, "entity")
     content = F.log(F.lit(float(total)) / F.col("with_entity"))
