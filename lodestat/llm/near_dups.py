@@ -14,11 +14,13 @@ gives each distinct shingle weight 1, for which that is plain Jaccard
 similarity, and links texts at 0.8 or more, checked on the whole shingle sets.
 
 Classes are connected components. Buckets (equal band keys) are never
-expanded into all pairs: each is first a star around one leader; buckets
-whose members are still in several components get a second leader by band;
-in what is left, every member outside the bucket's main component meets
-every member of another component. So each two texts that share a bucket end
-in one class or have been compared.
+expanded into all pairs: each is first a star around one leader. In a bucket
+whose members are still in several components, each member meets the few of
+other components whose signatures agree most, and in what is left after that
+all those of other components whose signatures leave a link possible; large
+buckets are searched in blocks that give out such pairs alone. So each two
+texts that share a bucket end in one class, have been compared, or have
+signatures too far apart.
 
 Defined results: exact copies (equal lower-cased text, null as empty) are one
 node. Texts without words are copies only of equal texts. Repeated rows share
@@ -40,8 +42,10 @@ from . import textvec
 from .common import durable
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
-#: A tested pair needs so many of the k one-byte coordinates in common; at similarity 0.8 fewer have odds under 1e-6.
-LEAST_AGREEING = 0.62
+#: A tested pair needs so many of the k one-byte coordinates in common; at similarity 0.8 fewer have odds near 1e-5.
+LEAST_AGREEING = 0.64
+#: Buckets up to SMALL are paired by a join, larger ones in blocks; each member first meets its NEAREST likeliest of other components.
+SMALL, BLOCK, NEAREST = 24, 1_024, 4
 #: More rows than this are joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -197,18 +201,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
 
     edges = durable(_linked(tested, sets, sigs, similarity, bands * rows), "links")
     roots = components(edges)
-    for turn in (1, 2):
+    for few in (True, False):
         marked = durable(member.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "marked")
-        mixed = marked.groupBy("band", "bucket").agg(
-            F.min("root").alias("r0"), F.max("root").alias("r1"), F.mode("root", True).alias("main"),
-            F.min(F.struct(F.xxhash64("band", "key"), "key", "root")).alias("second"),
-        ).where("r0 <> r1").select("band", "bucket", "main", F.col("second.key").alias("second"), F.col("second.root").alias("second_root"))
-        there = marked.drop("lead").join(mixed, ["band", "bucket"])
-        if turn == 1:
-            found = there.where("root <> second_root").select(F.col("key").alias("a"), F.col("second").alias("b"))
-        else:
-            odd = there.where("root <> main").select("band", "bucket", F.col("key").alias("y"), F.col("root").alias("y_root"))
-            found = odd.join(there.select("band", "bucket", "key", "root"), ["band", "bucket"]).where("root <> y_root").select(F.col("key").alias("a"), F.col("y").alias("b"))
+        mixed = marked.groupBy("band", "bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 <> r1").select("band", "bucket", "size")
+        there = durable(marked.drop("lead").join(mixed, ["band", "bucket"]), "mixed")
+        small = there.where(F.col("size") <= SMALL).select("band", "bucket", "key", "root")
+        other = small.select("band", "bucket", F.col("key").alias("other"), F.col("root").alias("other_root"))
+        found = small.join(other, ["band", "bucket"]).where("root <> other_root and key < other").select(F.col("key").alias("a"), F.col("other").alias("b"))
+        large = there.where(F.col("size") > SMALL).join(sigs, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        large = large.withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        large = large.select("band", "bucket", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "key", "root", "sig")
+        found = found.unionByName(large.groupBy("band", "bucket", "i", "j").applyInArrow(_met(bands * rows, few), "a binary, b binary"))
         new = durable(_pairs(found).join(tested, ["a", "b"], "left_anti"), "pairs")
         if new.limit(1).count() == 0:
             continue
@@ -224,6 +227,34 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     return signed.select("doc_id", "key").join(whose, "key").select("doc_id", "key", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("best"))).alias("keeper"))
 
 
+def _met(k: int, few: bool):
+    """Of one block of a bucket: the likely pairs from different components; with few, each member's NEAREST likeliest alone."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def met(rows: pa.Table) -> pa.Table:
+        keys, roots = rows.column("key").to_pylist(), rows.column("root").to_pylist()
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(keys), k)
+        root = np.unique([r.hex() for r in roots], return_inverse=True)[1]
+        a, b = [], []
+        for at in range(0, len(keys), 128):
+            alike = (sig[at : at + 128, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16)
+            alike[root[at : at + 128, None] == root[None, :]] = 0
+            if few and len(keys) > NEAREST:
+                edge = np.partition(alike, -NEAREST, axis=1)[:, -NEAREST]
+                alike[alike < edge[:, None]] = 0
+            i, j = np.nonzero(alike >= int(LEAST_AGREEING * k))
+            if few:  # ties at the edge: the first ones
+                nth = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[nth < NEAREST], j[nth < NEAREST]
+            else:
+                i, j = i[at + i < j], j[at + i < j]
+            a += [keys[x] for x in (at + i).tolist()]
+            b += [keys[x] for x in j.tolist()]
+        return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+
+    return met
+
+
 def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
