@@ -40,14 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
-    """Python workers get this many rows at a time: whole texts are long, and a worker holds a batch and its results at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """For writes: Python workers get so many rows at a time, as whole texts are long and a worker holds a batch and its
+    results at once; and shuffled rows are gathered to the advisory size, so that small tables have few files."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def durable(df: DataFrame, label: str = "t") -> DataFrame:
