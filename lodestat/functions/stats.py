@@ -236,18 +236,18 @@ def neighbour_information(flat: DataFrame, x: str, y: str, k: int = 3) -> float
     # among equal values the neighbours are the ties themselves; else the k-th neighbour, on the edge, doesn't count as within
     ties = F.count(F.lit(1)).over(Window.partitionBy("y", "x")) - 1
     r = r.withColumn("k", F.when(F.col("r") == 0, ties).otherwise(F.col("k")).cast("int"))
-    edges = r.select((F.col("x") - F.col("r")).alias("lo"), (F.col("x") + F.col("r")).alias("hi"), "k", "m", (F.col("r") > 0).cast("int").alias("z"))
+    edges = r.select((F.col("x") - F.col("r") * (1 - 1e-9)).alias("lo"), (F.col("x") + F.col("r") * (1 - 1e-9)).alias("hi"), "k", "m")
     # counts within [lo, hi] by two as-of sums over the ordered union of values and edges
     cum = prefix.running(hist.withColumn("g", F.lit(1)), ["g"], "x", ["t"]).select("x", F.col("t__before").alias("before"), (F.col("t__before") + F.col("t")).alias("upto"))
-    marks = edges.select(F.monotonically_increasing_id().alias("id"), "lo", "hi", "k", "m", "z")
-    points = marks.select("id", "k", "m", "z", F.col("lo").alias("x"), F.lit(0).alias("e")).unionByName(marks.select("id", "k", "m", "z", F.col("hi").alias("x"), F.lit(1).alias("e")))
-    union = cum.select(F.col("x"), F.lit(-1).alias("e"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("int").alias("z"), "before", "upto").unionByName(points.withColumns({"before": F.lit(None).cast("long"), "upto": F.lit(None).cast("long")}))
+    marks = edges.select(F.monotonically_increasing_id().alias("id"), "lo", "hi", "k", "m")
+    points = marks.select("id", "k", "m", F.col("lo").alias("x"), F.lit(0).alias("e")).unionByName(marks.select("id", "k", "m", F.col("hi").alias("x"), F.lit(1).alias("e")))
+    union = cum.select(F.col("x"), F.lit(-1).alias("e"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("m"), "before", "upto").unionByName(points.withColumns({"before": F.lit(None).cast("long"), "upto": F.lit(None).cast("long")}))
     up = Window.orderBy("x", "e").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.orderBy(F.desc("x"), "e").rowsBetween(Window.unboundedPreceding, 0)
     found = union.withColumn("le", F.last("upto", True).over(up)).withColumn("ge", F.last("before", True).over(down)).where("id is not null")
-    counts = found.groupBy("id").agg(F.max(F.when(F.col("e") == 1, F.col("le"))).alias("le"), F.max(F.when(F.col("e") == 0, F.col("ge"))).alias("lt"), F.max("k").alias("k"), F.max("m").alias("m"), F.max("z").alias("z"))
+    counts = found.groupBy("id").agg(F.max(F.when(F.col("e") == 1, F.col("le"))).alias("le"), F.max(F.when(F.col("e") == 0, F.col("ge"))).alias("lt"), F.max("k").alias("k"), F.max("m").alias("m"))
     # digamma of small integers many times over: count them first
-    small = counts.select((F.col("le") - F.col("lt") - F.col("z")).alias("c"), "k", "m").groupBy("c", "k", "m").agg(F.count(F.lit(1)).alias("n")).collect()
+    small = counts.select((F.col("le") - F.col("lt")).alias("c"), "k", "m").groupBy("c", "k", "m").agg(F.count(F.lit(1)).alias("n")).collect()
     n = sum(s["n"] for s in small)
     if not n:
         return None
