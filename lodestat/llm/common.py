@@ -63,6 +63,11 @@ def durable(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, rows: int, per_file: int = 250_000) -> DataFrame:
+    """df in as many partitions as its known number of rows needs, so that small tables don't become many files."""
+    return df.coalesce(max(1, -(-rows // per_file)))
+
+
 def drop_tables(paths: list[str], spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -118,6 +123,11 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], salt_on: list[str],
     return out.drop("__buckets", "__bucket", "__b", "__n0", "__a0", *[f"__k_{k}" for k in keys])
 
 
+def folded(docs: DataFrame, *names: str) -> DataFrame:
+    """docs as one column __doc, beside the columns named: whatever else docs has can't clash with an operator's own names."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc"), *[docs[c] for c in names])
+
+
 def labelled(labels: DataFrame, column: str, bound: int, train_fold_only: bool = True) -> DataFrame:
     """At most bound rows (doc_id, __y) of labels, the same ones for the same table; conflicting or null labels go.
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, durable, labelled
+from .common import WORD, durable, folded, labelled
 
 #: Words of a window, and the base rule's two limits.
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 8, 20, 30
@@ -109,7 +109,7 @@ def _cuts(values: list[float]) -> list[float]:
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_rules: int = 8, most_conditions: int = 3, least_precision: float = 0.9, least_covered: int = 12, cuts: int = 24) -> list[Rule]:
     """Sequential covering for the class quality = 0. bound: labelled documents that are used, a parameter, not a share of the corpus."""
-    rows = durable(training_table(docs, labels, bound).coalesce(4), "rules")
+    rows = durable(training_table(docs, labels, bound), "rules")
     shares = ", ".join(str((i + 1) / (cuts + 1)) for i in range(cuts))
     per_class = rows.groupBy("__y").agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"percentile_approx({f}, array({shares}), 10000)").alias(f) for f in FEATURES]).collect()
     if len(per_class) < 2:
@@ -192,7 +192,5 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The documents that the list keeps, with their own columns."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("__doc"), F.col("doc_id"), F.col("text"))
-    rows = statistics(packed, "__doc").withColumn("base_failed", base_failed())
+    rows = statistics(folded(docs, "doc_id", "text"), "__doc").withColumn("base_failed", base_failed())
     return rows.where(~F.col("base_failed") & verdict(rules)).select("__doc.*")

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ranked
+from .common import durable, folded, ranked
 from .near_dups import BROADCAST_ROWS, text_key
 
 #: Bytes of text in a block; slots of a period, unless more sources need more; power of a source's size that gives its default weight.
@@ -112,8 +112,7 @@ def mixed(docs: DataFrame, **given) -> DataFrame:
     """docs, all rows and columns, laid out in schedule order: partition by partition, row by row."""
     plan = scheduled(docs, **given).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key2")).agg(F.min(F.struct("slot", "place")).alias("__at"))
     plan = durable(plan, "plan")
-    keyed = docs.withColumn("__key", text_key())
+    keyed = folded(docs, "doc_id", "text").withColumn("__key", text_key())
     small = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    known = keyed.join(small, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__key2")))
-    laid = known.repartitionByRange("__at").sortWithinPartitions("__at")
-    return laid.select(*[F.col(f"`{c}`") for c in docs.columns])
+    known = keyed.join(small, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__key2"))).select("__doc", "__at")
+    return known.repartitionByRange("__at").sortWithinPartitions("__at").select("__doc.*")

@@ -16,9 +16,9 @@ similarity, and links texts at 0.8 or more, checked on the whole shingle sets.
 Classes are connected components. Buckets (equal band keys) are never
 expanded into all pairs: each is first a star around one leader. In a bucket
 whose members are still in several components, each member meets the few of
-other components whose signatures agree most, and in what is left after that
-all those of other components whose signatures leave a link possible; large
-buckets are searched in blocks that give out such pairs alone. So each two
+other components whose signatures agree most, turn by turn while that finds
+links, and in what is left after that all those of other components whose
+signatures leave a link possible; large buckets are searched in blocks that give out such pairs alone. So each two
 texts that share a bucket end in one class, have been compared, or have
 signatures too far apart.
 
@@ -39,13 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import durable
+from .common import durable, folded, gathered
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 #: A tested pair needs so many of the k one-byte coordinates in common; at similarity 0.8 fewer have odds near 1e-5.
-LEAST_AGREEING = 0.64
-#: Buckets up to SMALL are paired by a join, larger ones in blocks; each member first meets its NEAREST likeliest of other components.
-SMALL, BLOCK, NEAREST = 24, 1_024, 4
+LEAST_AGREEING = 0.65
+#: Buckets up to SMALL are paired by a join, larger ones in blocks; each member meets its NEAREST likeliest
+#: of other components, in up to TURNS turns while that finds links, and then all likely ones.
+SMALL, BLOCK, NEAREST, TURNS = 24, 1_024, 4, 8
 #: More rows than this are joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -163,18 +164,20 @@ def sparing(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(key, root) for each end of edges (a, b): least key of its component, by minima over neighbours and pointer jumps.
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """(key, root) for each end of edges (a, b), at most rows: least key of its component, by minima over neighbours and pointer jumps.
 
     Each turn is written to the shared folder; turns grow with the logarithm of a component's breadth.
     """
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    roots = durable(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")).select("key", F.least("key", "near").alias("root")), "roots")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = durable(gathered(both, 2 * rows), "edges")
+    roots = both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")).select("key", F.least("key", "near").alias("root"))
+    roots = durable(gathered(roots, rows), "roots")
     while True:
         near = both.join(roots.select(F.col("key").alias("b"), "root"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("near"))
         turned = roots.join(near, "key").select("key", "root", F.least("root", "near").alias("next"))
         jump = turned.alias("x").join(turned.alias("y"), F.col("x.next") == F.col("y.key")).select("x.key", "x.root", F.least("x.next", "y.next").alias("next"))
-        jump = durable(jump, "roots")
+        jump = durable(gathered(jump, rows), "roots")
         changed = jump.where("root <> next").limit(1).count()
         roots = jump.select("key", F.col("next").alias("root"))
         if not changed:
@@ -191,20 +194,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     member = durable(member.withColumn("rank", F.struct(F.xxhash64("key").alias("h"), "key")), "member")
     leaders = member.groupBy("band", "bucket").agg(F.min("rank").alias("lead"), F.max("rank").alias("end")).where("lead <> end").select("band", "bucket", F.col("lead.key").alias("lead"))
     member = durable(member.drop("rank").join(leaders, ["band", "bucket"]), "shared")
-    tested = durable(_pairs(member.where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b"))), "pairs")
+    shared = member.count()
+    tested = durable(gathered(_pairs(member.where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b"))), shared), "pairs")
 
-    wanted = member.select("key").distinct()
-    wanted = durable(wanted, "wanted")
-    texts = lean.join(sparing(wanted, wanted.count()), "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
+    wanted = durable(gathered(member.select("key").distinct(), shared), "wanted")
+    many = wanted.count()
+    texts = lean.join(sparing(wanted, many), "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
     sets = durable(texts.mapInArrow(_shingled(width), "key binary, shingles array<long>"), "sets")
-    sigs = durable(signed.join(sparing(wanted, wanted.count()), "key", "left_semi").groupBy("key").agg(F.first("sig").alias("sig")), "sigs")
-
-    edges = durable(_linked(tested, sets, sigs, similarity, bands * rows), "links")
-    roots = components(edges)
-    for few in (True, False):
-        marked = durable(member.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "marked")
+    sigs = durable(signed.join(sparing(wanted, many), "key", "left_semi").groupBy("key").agg(F.first("sig").alias("sig")), "sigs")
+
+    n_tested = tested.count()
+    edges = durable(gathered(_linked(tested, sets, sigs, similarity, bands * rows), n_tested, 10_000), "links")
+    roots = components(edges, n_tested)
+    settled = False
+    for turn in range(TURNS + 1):
+        few = turn < TURNS and not settled
+        marked = durable(gathered(member.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), shared), "marked")
         mixed = marked.groupBy("band", "bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 <> r1").select("band", "bucket", "size")
-        there = durable(marked.drop("lead").join(mixed, ["band", "bucket"]), "mixed")
+        there = durable(gathered(marked.drop("lead").join(mixed, ["band", "bucket"]), shared), "mixed")
         small = there.where(F.col("size") <= SMALL).select("band", "bucket", "key", "root")
         other = small.select("band", "bucket", F.col("key").alias("other"), F.col("root").alias("other_root"))
         found = small.join(other, ["band", "bucket"]).where("root <> other_root and key < other").select(F.col("key").alias("a"), F.col("other").alias("b"))
@@ -212,13 +219,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
         large = large.withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         large = large.select("band", "bucket", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "key", "root", "sig")
         found = found.unionByName(large.groupBy("band", "bucket", "i", "j").applyInArrow(_met(bands * rows, few), "a binary, b binary"))
-        new = durable(_pairs(found).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if new.limit(1).count() == 0:
-            continue
-        more = durable(_linked(new, sets, sigs, similarity, bands * rows), "links")
-        tested, edges = tested.unionByName(new), edges.unionByName(more)
-        if more.limit(1).count():
-            roots = components(edges)
+        new = durable(gathered(_pairs(found).join(tested, ["a", "b"], "left_anti"), shared), "pairs")
+        n_new = new.count()
+        more = durable(gathered(_linked(new, sets, sigs, similarity, bands * rows), n_new, 10_000), "links") if n_new else new
+        linked = more.count() if n_new else 0
+        if linked:
+            tested, edges, n_tested = tested.unionByName(new), edges.unionByName(more), n_tested + n_new
+            roots = components(edges, n_tested)
+        elif n_new:
+            tested = tested.unionByName(new)
+        if not few:
+            break
+        settled = not linked
     least = nodes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = durable(least, "least")
     best = least.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("best"))
@@ -275,8 +287,8 @@ def deduplicated(docs: DataFrame, **given) -> DataFrame:
     found = durable(classes(docs, **given), "classes")
     action = found.groupBy("doc_id", "key").agg(F.max("keeper").alias("keeper"), F.count(F.lit(1)).alias("n"))
     action = durable(action.where("not keeper or n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key2"), F.col("keeper").alias("__once")), "actions")
-    keyed = docs.withColumn("__key", text_key())
+    keyed = folded(docs, "doc_id", "text").withColumn("__key", text_key())
     same = keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__key2"))
     known = keyed.join(sparing(action, action.count()), same, "left")
     single = known.where("__once").dropDuplicates(["doc_id", "__key"])
-    return known.where("__once is null").unionByName(single).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return known.where("__once is null").unionByName(single).select("__doc.*")

@@ -34,7 +34,7 @@ from .common import durable, ranked
 
 CAPACITY, END = 2048, 0
 #: Different words whose ids a worker keeps; beyond it, it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import durable
+from .common import durable, folded
 from .near_dups import sparing, text_key
 
 KINDS = ("email", "ip", "card", "phone", "general", "remove")
@@ -120,15 +120,14 @@ def sanitised(docs: DataFrame, least_texts: int = LEAST_TEXTS, generalise_at: fl
     found = durable(scanned(docs), "scanned")
     terms = durable(term_spans(found, disclosing(docs, found, least_texts, generalise_at), remove_at), "spans")
     small = sparing(terms, terms.count()).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key2"), F.col("terms").alias("__terms"))
-    keyed = docs.withColumn("__key", text_key())
+    keyed = folded(docs, "doc_id", "text").withColumn("__key", text_key())
     known = keyed.join(small, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__key2")), "left")
     every = f"concat({_base('text')}, coalesce(__terms, cast(array() AS {_SPANS})))"
     mark = "CASE x.kind WHEN 'remove' THEN '' WHEN 'general' THEN '[TERM]' ELSE concat('[', upper(x.kind), ']') END"
     clean = f"inline(transform(array(transform(array({every}), z -> CASE WHEN size(z) > 0 THEN {spans.replaced('text', 'z', mark)} ELSE text END)[0]), t -> named_struct('__clean', t)))"
-    own = [c for c in docs.columns if c not in ("text", "n_chars")]
-    rows = known.selectExpr(*[f"`{c}`" for c in docs.columns], clean)
-    given = {c: F.col(f"`{c}`") for c in own} | {"text": F.col("__clean").alias("text")}
+    rows = known.selectExpr("__doc", "text", clean)
+    own = {c: F.col(f"__doc.`{c}`").alias(c) for c in docs.columns} | {"text": F.col("__clean").alias("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        given["n_chars"] = F.when(F.col("__clean").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("__clean").cast(kind)).alias("n_chars")
-    return rows.select(*[given[c] for c in docs.columns])
+        own["n_chars"] = F.when(F.col("__clean").eqNullSafe(F.col("text")), F.col("__doc.n_chars")).otherwise(F.length("__clean").cast(kind)).alias("n_chars")
+    return rows.select(*[own[c] for c in docs.columns])
