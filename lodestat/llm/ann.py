@@ -217,9 +217,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, shard: int = SHAR
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     usable = "vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(v, x -> x <> 0)"
     rows = rows.where(usable).selectExpr("vec_id", "transform(v, x -> x + 0.0D) AS v")
-    # the limit on row_number is applied before the shuffle too, so a vector that many rows share costs each task k + 1 rows
+    # the limit on the rank is applied before the shuffle too, so a vector that many rows share costs each task k + 1 rows
     first = Window.partitionBy("v").orderBy("vec_id")
-    few = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    few = rows.withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= k + 1)
     points = durable(few.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("point"), "v", "ids", F.size("v").alias("dims")), "points")
     shards = max(1, math.ceil(points.count() / shard))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("point", F.lit(5)), F.lit(shards)) + F.col("dims").cast("long") * F.lit(1 << 32))
