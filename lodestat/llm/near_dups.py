@@ -14,13 +14,12 @@ gives each distinct shingle weight 1, for which that is plain Jaccard
 similarity, and links texts at 0.8 or more, checked on the whole shingle sets.
 
 Classes are connected components. Buckets (equal band keys) are never
-expanded into all pairs: each is first a star around one leader. In a bucket
-whose members are still in several components, each member meets the few of
-other components whose signatures agree most, turn by turn while that finds
-links, and in what is left after that all those of other components whose
-signatures leave a link possible; large buckets are searched in blocks that give out such pairs alone. So each two
-texts that share a bucket end in one class, have been compared, or have
-signatures too far apart.
+expanded into all pairs: each is first a star around one leader. A bucket
+whose members are still in several components is searched in blocks of
+bounded size: pairs from different components whose signatures leave a link
+possible are checked, the likeliest first, until the components are one or no
+pair is left, and links alone come out. So each two texts that share a bucket
+end in one class, have been compared, or have signatures too far apart.
 
 Defined results: exact copies (equal lower-cased text, null as empty) are one
 node. Texts without words are copies only of equal texts. Repeated rows share
@@ -44,9 +43,8 @@ from .common import durable, folded, gathered
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 #: A tested pair needs so many of the k one-byte coordinates in common; at similarity 0.8 fewer have odds near 1e-5.
 LEAST_AGREEING = 0.65
-#: Buckets up to SMALL are paired by a join, larger ones in blocks; each member meets its NEAREST likeliest
-#: of other components, in up to TURNS turns while that finds links, and then all likely ones.
-SMALL, BLOCK, NEAREST, TURNS = 24, 1_024, 4, 8
+#: Buckets of at most SMALL members are paired by a join, larger ones in blocks of about BLOCK members.
+SMALL, BLOCK = 24, 512
 #: More rows than this are joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -201,36 +199,25 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     many = wanted.count()
     texts = lean.join(sparing(wanted, many), "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
     sets = durable(texts.mapInArrow(_shingled(width), "key binary, shingles array<long>"), "sets")
-    sigs = durable(signed.join(sparing(wanted, many), "key", "left_semi").groupBy("key").agg(F.first("sig").alias("sig")), "sigs")
+    sigs = durable(signed.join(sparing(wanted, many), "key", "left_semi").groupBy("key").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "sigs")
 
     n_tested = tested.count()
     edges = durable(gathered(_linked(tested, sets, sigs, similarity, bands * rows), n_tested, 10_000), "links")
     roots = components(edges, n_tested)
-    settled = False
-    for turn in range(TURNS + 1):
-        few = turn < TURNS and not settled
-        marked = durable(gathered(member.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), shared), "marked")
-        mixed = marked.groupBy("band", "bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 <> r1").select("band", "bucket", "size")
-        there = durable(gathered(marked.drop("lead").join(mixed, ["band", "bucket"]), shared), "mixed")
-        small = there.where(F.col("size") <= SMALL).select("band", "bucket", "key", "root")
-        other = small.select("band", "bucket", F.col("key").alias("other"), F.col("root").alias("other_root"))
-        found = small.join(other, ["band", "bucket"]).where("root <> other_root and key < other").select(F.col("key").alias("a"), F.col("other").alias("b"))
-        large = there.where(F.col("size") > SMALL).join(sigs, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        large = large.withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        large = large.select("band", "bucket", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "key", "root", "sig")
-        found = found.unionByName(large.groupBy("band", "bucket", "i", "j").applyInArrow(_met(bands * rows, few), "a binary, b binary"))
-        new = durable(gathered(_pairs(found).join(tested, ["a", "b"], "left_anti"), shared), "pairs")
-        n_new = new.count()
-        more = durable(gathered(_linked(new, sets, sigs, similarity, bands * rows), n_new, 10_000), "links") if n_new else new
-        linked = more.count() if n_new else 0
-        if linked:
-            tested, edges, n_tested = tested.unionByName(new), edges.unionByName(more), n_tested + n_new
-            roots = components(edges, n_tested)
-        elif n_new:
-            tested = tested.unionByName(new)
-        if not few:
-            break
-        settled = not linked
+    marked = durable(gathered(member.drop("lead").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), shared), "marked")
+    mixed = marked.groupBy("band", "bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 <> r1").select("band", "bucket", "size")
+    there = durable(gathered(marked.join(mixed, ["band", "bucket"]), shared), "mixed")
+    small = there.where(F.col("size") <= SMALL).select("band", "bucket", "key", "root")
+    other = small.select("band", "bucket", F.col("key").alias("other"), F.col("root").alias("other_root"))
+    found = small.join(other, ["band", "bucket"]).where("root <> other_root and key < other").select(F.col("key").alias("a"), F.col("other").alias("b"))
+    new = durable(gathered(_pairs(found).join(tested, ["a", "b"], "left_anti"), shared), "pairs")
+    n_new = new.count()
+    edges = edges.unionByName(durable(gathered(_linked(new, sets, sigs, similarity, bands * rows), n_new, 10_000), "links"))
+    large = there.where(F.col("size") > SMALL).join(sigs, "key").join(sets, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    large = large.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("band", "bucket", "i", "j", "own", "key", "root", "sig", "bands", "shingles")
+    edges = edges.unionByName(durable(large.groupBy("band", "bucket", "i", "j").applyInArrow(_met(similarity), "a binary, b binary"), "links"))
+    roots = components(edges, n_tested + n_new)
     least = nodes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = durable(least, "least")
     best = least.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("best"))
@@ -239,30 +226,56 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     return signed.select("doc_id", "key").join(whose, "key").select("doc_id", "key", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("best"))).alias("keeper"))
 
 
-def _met(k: int, few: bool):
-    """Of one block of a bucket: the likely pairs from different components; with few, each member's NEAREST likeliest alone."""
+def _met(similarity: float):
+    """Of one block of a bucket: links that join its components. The likeliest pairs are checked first, on whole shingle sets;
+    a pair whose ends have come together needs no check, and one that shares an earlier band's bucket is left to that."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def met(rows: pa.Table) -> pa.Table:
-        keys, roots = rows.column("key").to_pylist(), rows.column("root").to_pylist()
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(keys), k)
-        root = np.unique([r.hex() for r in roots], return_inverse=True)[1]
-        a, b = [], []
-        for at in range(0, len(keys), 128):
-            alike = (sig[at : at + 128, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16)
-            alike[root[at : at + 128, None] == root[None, :]] = 0
-            if few and len(keys) > NEAREST:
-                edge = np.partition(alike, -NEAREST, axis=1)[:, -NEAREST]
-                alike[alike < edge[:, None]] = 0
-            i, j = np.nonzero(alike >= int(LEAST_AGREEING * k))
-            if few:  # ties at the edge: the first ones
-                nth = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j = i[nth < NEAREST], j[nth < NEAREST]
-            else:
-                i, j = i[at + i < j], j[at + i < j]
-            a += [keys[x] for x in (at + i).tolist()]
-            b += [keys[x] for x in j.tolist()]
-        return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+        n = rows.num_rows
+        keys = rows.column("key").to_pylist()
+        group = np.unique([r.hex() for r in rows.column("root").to_pylist()], return_inverse=True)[1].tolist()
+        root, own = np.array(group), rows.column("own").to_numpy()
+        apart = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(n, -1)
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)[:, : rows.column("band")[0].as_py()]
+        sets = rows.column("shingles").combine_chunks()
+        i, j, alike = [], [], []
+        for at in range(0, n, 64):
+            agree = (sig[at : at + 64, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16)
+            ok = (agree >= int(LEAST_AGREEING * sig.shape[1])) & (root[at : at + 64, None] != root[None, :]) & (np.arange(at, at + len(agree))[:, None] < np.arange(n)[None, :])
+            if apart:
+                ok &= own[at : at + 64, None] != own[None, :]
+            x, y = np.nonzero(ok)
+            first = ~(bands[at + x] == bands[y]).any(axis=1)
+            i.append(at + x[first])
+            j.append(y[first])
+            alike.append(agree[x[first], y[first]])
+        i, j, alike = (np.concatenate(c) for c in (i, j, alike))
+        order = np.argsort(-alike, kind="stable")
+        shingles: dict[int, np.ndarray] = {}
+
+        def of(r: int) -> np.ndarray:
+            if r not in shingles:
+                shingles[r] = sets[r].values.to_numpy()
+            return shingles[r]
+
+        def top(g: int) -> int:
+            while group_of[g] != g:
+                group_of[g] = group_of[group_of[g]]
+                g = group_of[g]
+            return g
+
+        group_of, out = list(range(max(group) + 1)), []
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            a, b = top(group[x]), top(group[y])
+            if a != b:
+                u, v = of(x), of(y)
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                if common >= similarity * (len(u) + len(v) - common):
+                    group_of[a] = b
+                    out.append((x, y))
+        return pa.Table.from_arrays([pa.array([keys[x] for x, _ in out], pa.binary()), pa.array([keys[y] for _, y in out], pa.binary())], schema=schema)
 
     return met
 

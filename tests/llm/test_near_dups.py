@@ -67,8 +67,6 @@ def test_large_buckets_lose_no_link(copies, monkeypatch):
     df, texts = copies
     monkeypatch.setattr(near_dups, "SMALL", 2)
     monkeypatch.setattr(near_dups, "BLOCK", 16)
-    monkeypatch.setattr(near_dups, "NEAREST", 1)
-    monkeypatch.setattr(near_dups, "TURNS", 1)
     got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(df).collect()}
     assert got == classes_by_brute_force(texts)
 
