@@ -221,33 +221,30 @@ def mutual_information(flat: DataFrame, by: Sequence[str], x: str, y: str) -> Da
 
 def neighbour_information(flat: DataFrame, x: str, y: str, k: int = 3) -> float | None:
     """Ross's estimate of the information between a continuous x and a discrete y: the distance to the k-th neighbour of the same
-    class, and how many of any class lie within it. Neighbours in one dimension are neighbours in order, so windows find them."""
+    class, and how many of any class lie within it. Neighbours in one dimension are neighbours in order, so windows over the
+    distinct values of a class find them (a factor has few: one per cluster)."""
     rows = flat.select(finite(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
-    hist = rows.groupBy("x").agg(F.count(F.lit(1)).alias("t"))
-    total = hist.agg(F.sum("t").alias("n"), F.count(F.lit(1)).alias("u")).first()
-    classes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("m")).collect()
-    if not total["n"] or total["n"] < 3 or len(classes) < 2:
+    hist = rows.groupBy("y", "x").agg(F.count(F.lit(1)).alias("t")).withColumn("m", F.sum("t").over(Window.partitionBy("y")))
+    total = hist.agg(F.sum("t").alias("n"), F.countDistinct("y").alias("classes")).first()
+    if not total["n"] or total["n"] < 3 or total["classes"] < 2:
         return None
     order = Window.partitionBy("y").orderBy("x")
-    near = [F.abs(F.col("x") - (F.lag("x", i) if s < 0 else F.lead("x", i)).over(order)) for i in range(1, k + 1) for s in (-1, 1)]
-    size = Window.partitionBy("y")
-    r = rows.withColumn("d", F.array_compact(F.array(*near))).withColumn("m", F.count(F.lit(1)).over(size)).where("m > 1")
-    r = r.withColumn("k", F.least(F.lit(k), F.col("m") - 1).cast("int")).withColumn("r", F.element_at(F.sort_array("d"), F.col("k")))
-    # among equal values the neighbours are the ties themselves; else the k-th neighbour, on the edge, doesn't count as within
-    ties = F.count(F.lit(1)).over(Window.partitionBy("y", "x")) - 1
-    r = r.withColumn("k", F.when(F.col("r") == 0, ties).otherwise(F.col("k")).cast("int"))
-    edges = r.select((F.col("x") - F.col("r") * (1 - 1e-9)).alias("lo"), (F.col("x") + F.col("r") * (1 - 1e-9)).alias("hi"), "k", "m")
-    # counts within [lo, hi] by two as-of sums over the ordered union of values and edges
-    cum = prefix.running(hist.withColumn("g", F.lit(1)), ["g"], "x", ["t"]).select("x", F.col("t__before").alias("before"), (F.col("t__before") + F.col("t")).alias("upto"))
-    marks = edges.select(F.monotonically_increasing_id().alias("id"), "lo", "hi", "k", "m")
-    points = marks.select("id", "k", "m", F.col("lo").alias("x"), F.lit(0).alias("e")).unionByName(marks.select("id", "k", "m", F.col("hi").alias("x"), F.lit(1).alias("e")))
-    union = cum.select(F.col("x"), F.lit(-1).alias("e"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("m"), "before", "upto").unionByName(points.withColumns({"before": F.lit(None).cast("long"), "upto": F.lit(None).cast("long")}))
-    up = Window.orderBy("x", "e").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.desc("x"), "e").rowsBetween(Window.unboundedPreceding, 0)
-    found = union.withColumn("le", F.last("upto", True).over(up)).withColumn("ge", F.last("before", True).over(down)).where("id is not null")
-    counts = found.groupBy("id").agg(F.max(F.when(F.col("e") == 1, F.col("le"))).alias("le"), F.max(F.when(F.col("e") == 0, F.col("ge"))).alias("lt"), F.max("k").alias("k"), F.max("m").alias("m"))
+    near = []
+    for i in range(1, k + 1):
+        for move in (F.lag, F.lead):
+            near.append(F.when(move("x", i).over(order).isNotNull(), F.struct(F.abs(F.col("x") - move("x", i).over(order)).alias("d"), move("t", i).over(order).alias("c"))))
+    r = hist.where("m > 1").withColumn("need", F.least(F.lit(k), F.col("m") - 1)).withColumn("near", F.sort_array(F.array_compact(F.array(*near))))
+    walk = "aggregate(near, named_struct('c', t - 1, 'd', 0D), (a, e) -> CASE WHEN a.c >= need THEN a ELSE named_struct('c', a.c + e.c, 'd', e.d) END, a -> a.d)"
+    r = r.withColumn("r", F.expr(walk)).withColumn("k", F.when(F.col("r") == 0, F.col("t") - 1).otherwise(F.col("need")))
+    # neighbours on the edge don't count as within, ties do
+    inner = F.col("r") * (1 - 1e-9)
+    edges = r.select("t", "m", "k", (F.col("x") - inner).alias("lo"), (F.col("x") + inner).alias("hi"))
+    marks = hist.select("x", "t").unionByName(edges.select(F.explode(F.array("lo", "hi")).alias("x"), F.lit(0).cast("long").alias("t")))
+    cum = prefix.running(marks.groupBy("x").agg(F.sum("t").alias("t")).withColumn("g", F.lit(1)), ["g"], "x", ["t"])
+    below, upto = cum.select(F.col("x").alias("lo"), F.col("t__before").alias("below")), cum.select(F.col("x").alias("hi"), (F.col("t__before") + F.col("t")).alias("upto"))
+    counts = edges.join(below, "lo").join(upto, "hi")
     # digamma of small integers many times over: count them first
-    small = counts.select((F.col("le") - F.col("lt")).alias("c"), "k", "m").groupBy("c", "k", "m").agg(F.count(F.lit(1)).alias("n")).collect()
+    small = counts.select((F.col("upto") - F.col("below")).alias("c"), "k", "m", "t").groupBy("c", "k", "m").agg(F.sum("t").alias("n")).collect()
     n = sum(s["n"] for s in small)
     if not n:
         return None

@@ -13,7 +13,7 @@ def _hashed(seed: int, key: tuple[str, ...]) -> Column:
     return F.xxhash64(F.lit(seed), *key)
 
 
-def shares(df: DataFrame, label: str, key: tuple[str, ...], seed: int, salt: int = 64) -> DataFrame:
+def shares(df: DataFrame, label: str, key: tuple[str, ...], seed: int, salt: int = 4_096) -> DataFrame:
     """df with __i, the place of a row in its class in an order by hash, and __n, the class's size. Places come from hash ranges, so no task holds a class."""
     h = _hashed(seed, key)
     rows = df.withColumn("__h", h).withColumn("__g", F.floor((F.col("__h").cast("double") / 2.0**64 + 0.5) * salt).cast("int"))
