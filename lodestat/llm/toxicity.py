@@ -9,9 +9,11 @@ from falling below 0 as a flexible model would drive it:
     p E+[l(z)] + max(0, E[l(-z)] - p E+[l(-z)]),   l(z) = ln(1 + exp(-z))
 
 The model is linear over the presence of words (runs of letters and digits,
-lower case) and of their first bytes, hashed, trained in numpy by Adam; where
-the second part is negative a step undoes it instead. p is the share of toxic
-rows among the labels learned from.
+lower case) and of their first bytes, hashed, trained in numpy by Adam; only
+features that toxic texts hold more often than not, and not just a few copies
+of one, are kept, so that weak ones don't add up over a long text. Where the
+second part is negative a step undoes it instead. p is the share of toxic rows
+among the labels learned from.
 
 Defined results: null text is empty; a text without known words gets the score
 of the intercept. Without both a confirmed text and labels, every score is p.
@@ -35,7 +37,10 @@ from .common import durable, labelled
 #: Bounds of the samples that the classifier is fitted on: confirmed texts, unlabelled texts, labels.
 POSITIVES, UNLABELLED, LABELS = 4_000, 8_000, 100_000
 PREFIXES = (4, 5, 6)
-FEATURES, LEAST_TEXTS, LEAST_RATIO = 8_192, 4, 3.0
+#: Features kept at most; confirmed texts that hold one at least, and as a share of them; share of toxic ones, by p, among the texts that hold one.
+FEATURES, LEAST_TEXTS, LEAST_OF_TEXTS, LEAST_SHARE = 8_192, 4, 0.01, 0.6
+#: After a first fit, features under this share of the largest weight go and the rest are fitted again.
+LEAST_WEIGHT = 0.2
 THRESHOLD = 0.5
 
 
@@ -118,20 +123,25 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         return nothing
     p, u = (in_p + 0.5) / (n_p + 1), (in_u + 0.5) / (n_u + 1)
     strength = (p - u) / np.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u)
-    good = np.flatnonzero((in_p >= LEAST_TEXTS) & (p >= LEAST_RATIO * u))
+    good = np.flatnonzero((in_p >= max(LEAST_TEXTS, LEAST_OF_TEXTS * n_p)) & (prior * p >= LEAST_SHARE * u))
     good = np.sort(good[np.argsort(-strength[good], kind="stable")][:FEATURES])
-    new = np.full(len(names), -1)
-    new[good] = np.arange(len(good))
-    kept = new[place] >= 0
-
-    def part(label: int) -> tuple[np.ndarray, np.ndarray]:
-        of = np.flatnonzero(y == label)
-        renumbered = np.full(len(y), -1)
-        renumbered[of] = np.arange(len(of))
-        here = kept & (y[row] == label)
-        return new[place[here]], np.searchsorted(renumbered[row[here]], np.arange(len(of) + 1))
-
-    weights, intercept = non_negative_pu(part(1), part(0), len(good), prior)
+    weights, intercept = np.zeros(0), nothing[2]
+    for last in (False, True):
+        new = np.full(len(names), -1)
+        new[good] = np.arange(len(good))
+        kept = new[place] >= 0
+
+        def part(label: int) -> tuple[np.ndarray, np.ndarray]:
+            of = np.flatnonzero(y == label)
+            renumbered = np.full(len(y), -1)
+            renumbered[of] = np.arange(len(of))
+            here = kept & (y[row] == label)
+            return new[place[here]], np.searchsorted(renumbered[row[here]], np.arange(len(of) + 1))
+
+        # few features are left for the second fit, which may therefore follow the data closer
+        weights, intercept = non_negative_pu(part(1), part(0), len(good), prior, decay=2e-5 if last else 2e-4)
+        if not last:
+            good = good[weights >= LEAST_WEIGHT * weights.max(initial=0.0)]
     return names[good], weights, intercept
 
 
