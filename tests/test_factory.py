@@ -75,3 +75,22 @@ def test_cli(capsys):
     assert cli.main(["info"]) == 0 and "lodestat" in capsys.readouterr().out
     args = cli.parser().parse_args(["run", "--out", "x", "--n-perm", "5", "--no-plots"])
     assert args.out == "x" and args.n_perm == 5 and args.no_plots
+
+
+def test_all_checks_find_what_was_planted(made, wide):
+    from lodestat.operators import quality
+
+    report_ = quality.run_quality_checks(wide, perf=made[0]["perf_tests"])
+    got = quality.summarize_quality(report_)
+    assert got["constant_columns"] == ["plant_code"] and got["near_constant_columns"] == ["is_archived"] and got["full_duplicate_rows"] == 2
+    assert got["out_of_range_values"] > 0 and got["class_balance"] == "moderate" and report_["perf_fanout"]["fanout_detected"] and report_["perf_fanout"]["max"] >= 2
+
+
+def test_series_of_the_factory(wide):
+    from lodestat.plans import pipeline
+
+    clean, _ = integrate.clean(wide)
+    got = pipeline.run_timeseries(clean, values=("tensile_strength_mpa",))
+    assert got["batch_fail_rate"]["n"] == 36 and got["run_fail_rate"]["n"] == 144 and len(got["batch_fail_rate"]["backtest"]) == 4
+    assert pipeline.run_timeseries(clean.drop("batch_id"))["note"].startswith("cannot analyze")
+    assert pipeline.run_timeseries(clean.where("batch_id = 'B01'"))["note"] == "series too short"
