@@ -15,9 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Java and RE2 spelling of one word, and of one character that is in none.
+#: Java's spelling of one word.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]"
 
 _written: list[tuple[SparkSession, str]] = []
 
