@@ -1,14 +1,17 @@
 """Best-fit packing of token pieces into sequences, by a configuration linear program over the length histogram.
 
 A configuration says how many pieces of each length share one sequence. The
-program (fewest sequences that cover the histogram) is solved by
+program (fewest sequences that cover the histogram) is taken on by
 multiplicative weights: lengths that are covered least get the highest
-prices, a knapsack by dynamic programming prices out the best configuration,
-which gets a step; the average is nearly optimal. Whole parts are taken, the
-rest of the histogram is solved again, and what is left after that, a number
-of pieces that the number of lengths bounds, goes best-fit decreasing. The
-driver sees only the histogram (at most capacity rows). A piece finds its
-place by its rank among the pieces of its length.
+prices, a knapsack by dynamic programming, bounded by the pieces there are,
+prices out the best configuration around each length, and these get steps.
+One pass ends at a gap of GAP or, in practice, at its number of rounds, which
+grows with the root of the number of lengths; its cover of the last lengths
+is loose then. Whole sequences are taken, the program is solved again for the
+rest, and what is left, at most LEFT pieces a length, goes best-fit
+decreasing. packed() prints the share that the program placed. The driver
+sees only the histogram (at most capacity rows). A piece finds its place by
+its rank among the pieces of its length.
 
 Defined results: a null or empty text is the end token alone. Repeated rows
 are packed each. An empty table gives an empty result. Only doc_id and text
@@ -17,7 +20,9 @@ are read.
 
 from __future__ import annotations
 
+import math
 import re
+import sys
 import zlib
 from array import array
 from collections import Counter
@@ -35,6 +40,8 @@ from .common import durable, ranked
 CAPACITY, END = 2048, 0
 #: Different words whose ids a worker keeps; beyond it, it starts anew.
 REMEMBERED = 450_000
+#: The program is solved until its cover is within this share of its bound; best fit gets at most so many pieces a length.
+GAP, LEFT = 0.02, 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -150,46 +157,86 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
 
 
-def _best_configuration(prices: np.ndarray, lengths: np.ndarray, supply: np.ndarray, capacity: int) -> np.ndarray:
-    """Pieces of each length in one sequence, of the highest total price; supply is then kept by cutting back."""
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], took[c] = best[c - 1], -1
-        if upto[c]:
-            gains = prices[: upto[c]] + best[c - lengths[: upto[c]]]
-            i = int(np.argmax(gains))
-            if gains[i] > best[c]:
-                best[c], took[c] = gains[i], i
-    out, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-            continue
-        out[took[c]] += 1
-        c -= lengths[took[c]]
-    return np.minimum(out, supply)
-
-
-def _fractional(lengths: np.ndarray, supply: np.ndarray, capacity: int, rounds: int) -> list[tuple[np.ndarray, float]]:
-    """Multiplicative weights for the covering program: (configuration, how many sequences of it)."""
+def _priced(prices: np.ndarray, lengths: np.ndarray, supply: np.ndarray, capacity: int, wanted: np.ndarray, order: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
+    """Bounded knapsack: (highest price of one sequence, for each wanted length the pieces of the best sequence that holds one, their prices).
+
+    No sequence holds more pieces of a length than there are. Pieces are repeated indices of lengths, in order.
+    Of equal prices, lengths that come first in order are taken.
+    """
+    items, most = [], np.minimum(supply, capacity // lengths)
+    for i in order.tolist():
+        size, n, many = int(lengths[i]), int(most[i]), 1
+        while n > 0:  # 1, 2, 4, ... and the rest make any number up to n
+            many = min(many, n)
+            items.append((i, many, size * many))
+            n -= many
+            many *= 2
+    best, took = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    for t, (i, many, size) in enumerate(items):
+        gains = best[: capacity + 1 - size] + prices[i] * many
+        np.greater(gains, best[size:], out=took[t, size:])
+        np.maximum(best[size:], gains, out=best[size:])
+    room = capacity - lengths[wanted]
+    rows, parts, times = [np.arange(len(wanted))], [wanted], [np.ones(len(wanted), np.int64)]
+    for t in range(len(items) - 1, -1, -1):
+        hit = np.flatnonzero(took[t, room])
+        if len(hit):
+            i, many, size = items[t]
+            room[hit] -= size
+            rows.append(hit)
+            parts.append(np.full(len(hit), i))
+            times.append(np.full(len(hit), many))
+    row, part, time = np.concatenate(rows), np.concatenate(parts), np.concatenate(times)
+    row, part = np.repeat(row, time), np.repeat(part, time)
+    at = np.lexsort((part, row))
+    row, part = row[at], part[at]
+    found = np.split(part, np.searchsorted(row, np.arange(1, len(wanted))))
+    # the wanted piece comes on top of what fits beside it: one too many of a scarce length goes
+    found = [own if (own == w).sum() <= supply[w] else np.delete(own, np.searchsorted(own, w)) for own, w in zip(found, wanted.tolist(), strict=True)]
+    return float(best[capacity]), found, np.array([prices[own].sum() for own in found])
+
+
+def _fractional(lengths: np.ndarray, supply: np.ndarray, capacity: int, gap: float = GAP, eps: float = 0.1) -> tuple[list[tuple[np.ndarray, float]], float, float]:
+    """Multiplicative weights for the covering program: (pieces of a sequence, how many such), sequences in all, lower bound of the program.
+
+    A round prices out, for each length that is covered less than most, the
+    best sequence that holds it, and gives the nearly best of them steps, up to
+    eps of each length. Prices begin at the lengths themselves. It ends when
+    the cover, scaled to hold every piece, is within gap of the bound that
+    prices prove, or after its rounds.
+    """
     covered, uses = np.zeros(len(lengths)), Counter()
-    kinds: dict[bytes, np.ndarray] = {}
-    eps = 0.1
+    bound, at_bound = 0.0, lengths.astype(float)
+    rng = np.random.default_rng(len(lengths))
+    rounds = 40 + math.isqrt(len(lengths))
     for _ in range(rounds):
         part = covered / supply
-        prices = np.exp(-(part - part.min()) / eps) / supply
-        one = _best_configuration(prices, lengths, supply, capacity)
-        used = one > 0
-        step = float((supply[used] / one[used]).min()) * eps
-        uses[one.tobytes()] += step
-        kinds[one.tobytes()] = one
-        covered += step * one
-        if part.min() >= 1.0:
+        need = np.exp(-(part - part.min()) / eps)
+        prices = need * lengths
+        wanted = np.flatnonzero(need >= 0.05)
+        wanted = wanted[np.argsort(-need[wanted], kind="stable")]
+        # plentiful lengths fill up first, in changing order, so that sequences differ
+        order = np.argsort(-supply * rng.random(len(supply)), kind="stable")
+        top, found, worth = _priced(prices, lengths, supply, capacity, wanted, order)
+        if (proven := float(prices @ supply) / top) > bound:
+            bound, at_bound = proven, prices / top
+        spare = eps * supply
+        for k in np.flatnonzero(worth >= min((1 - eps) * top, worth.max())).tolist():
+            kinds, times = np.unique(found[k], return_counts=True)
+            x = float((spare[kinds] / times).min())
+            if x > 0:
+                spare[kinds] -= x * times
+                uses[found[k].tobytes()] += x
+        covered += eps * supply - spare
+        least = float((covered / supply).min())
+        if least > 0 and sum(uses.values()) / least <= (1 + gap) * bound:
             break
-    scale = max(float((covered / supply).max()), 1.0)
-    return [(kinds[k], x / scale) for k, x in uses.items()]
+    least = float((covered / supply).min())
+    scale = least if least > 0 else float((covered / supply).max())
+    ways = [(np.frombuffer(k, np.int64), x / scale) for k, x in uses.items()]
+    # the best by the prices of the bound first: what their surplus takes away, worse ones lose
+    ways.sort(key=lambda w: (-round(float(at_bound[w[0]].sum()), 3), -w[1], w[0].tobytes()))
+    return ways, sum(x for _, x in ways), bound
 
 
 def _best_fit_decreasing(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -220,37 +267,49 @@ def _best_fit_decreasing(lengths: np.ndarray, left: np.ndarray, capacity: int) -
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 150, passes: int = 4) -> list[tuple[dict[int, int], int]]:
-    """(length -> pieces in one sequence, number of such sequences), which use every piece exactly once.
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, passes: int = 12) -> list[tuple[dict[int, int], int]]:
+    """(length -> pieces in one sequence, number of such sequences), which use every piece exactly once."""
+    return programmed(histogram, capacity, passes)[0]
+
+
+def programmed(histogram: dict[int, int], capacity: int = CAPACITY, passes: int = 12) -> tuple[list[tuple[dict[int, int], int]], dict]:
+    """configurations(), and how they came about: share of the pieces under capacity placed by the program, its sequences over its bound.
 
     histogram: length (1 to capacity) -> pieces. The work depends on the
-    number of different lengths only.
+    number of different lengths only. Each pass solves the program for what is
+    left and takes whole sequences of it: numbers are rounded along the list
+    so that their running sum is kept, then cut to the pieces that are left.
     """
     full = histogram.get(capacity, 0)
     lengths = np.asarray(sorted(x for x, n in histogram.items() if n > 0 and x < capacity), np.int64)
     left = np.asarray([histogram[int(x)] for x in lengths], np.int64)
     out: list[tuple[np.ndarray, int]] = []
+    said: dict = {"pieces": int(left.sum()), "lengths": len(lengths), "passes": []}
     for _ in range(passes):
-        live = left > 0
-        if left.sum() <= 4 * len(lengths) or not live.any():
+        live = np.flatnonzero(left > 0)
+        if left.sum() <= LEFT * len(lengths) or not len(live):
             break
-        some, took = lengths[live], 0
-        for one, x in sorted(_fractional(some, left[live], capacity, rounds), key=lambda p: -p[1]):
-            used = one > 0
-            n = min(int(x), int((left[live][used] // one[used]).min()))
-            if n > 0 and (some * one).sum() > 0.9 * capacity:
-                wide = np.zeros(len(lengths), np.int64)
-                wide[live] = one
-                out.append((wide, n))
-                rest = left.copy()
-                rest -= n * wide
-                left = rest
+        ways, many, bound = _fractional(lengths[live], left[live], capacity)
+        took, owed = 0, 0.0
+        for own, x in ways:
+            kinds, times = np.unique(live[own], return_counts=True)
+            owed += x
+            n = min(int(owed), int((left[kinds] // times).min()))
+            owed -= int(owed)
+            if n > 0:
+                one = np.zeros(len(lengths), np.int64)
+                one[kinds] = times
+                out.append((one, n))
+                left[kinds] -= n * times
                 took += n
+        said["passes"].append((round(many / bound - 1, 4), took))
         if not took:
             break
+    said["left"] = int(left.sum())
+    said["placed"] = 1 - said["left"] / said["pieces"] if said["pieces"] else 1.0
     out += _fill(lengths, left, capacity)
     found = [({int(lengths[i]): int(one[i]) for i in np.flatnonzero(one)}, n) for one, n in out]
-    return ([({capacity: 1}, full)] if full else []) + found
+    return ([({capacity: 1}, full)] if full else []) + found, said
 
 
 def _fill(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -274,7 +333,9 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     pieces = durable(tokenised(docs, path, capacity, end), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, sequence, before = [], 0, Counter()
-    for one, n in configurations(histogram, capacity):
+    found, said = programmed(histogram, capacity)
+    print(f"packing: {said['pieces']} pieces of {said['lengths']} lengths, share placed by the program {said['placed']:.4f}", file=sys.stderr)
+    for one, n in found:
         offset = 0
         for length, many in sorted(one.items(), reverse=True):
             rows.append((length, before[length], before[length] + many * n, many, sequence, offset))

@@ -110,3 +110,15 @@ def test_configurations_use_every_piece_once():
         assert used == hist
         assert sum(n for _, n in found) <= 1.03 * -(-sum(k * v for k, v in hist.items()) // 2048) + 1
     assert packing.configurations({}) == [] and packing.configurations({2048: 3}) == [({2048: 1}, 3)]
+
+
+def test_the_program_places_nearly_all():
+    rng = random.Random(4)
+    hist = Counter(min(2048, int(rng.lognormvariate(5.5, 1.3)) + 1) for _ in range(60_000))
+    found, said = packing.programmed(dict(hist))
+    assert sum(n * m * size for one, n in found for size, m in one.items()) == sum(size * n for size, n in hist.items())
+    assert said["placed"] >= 0.8 and said["left"] <= packing.LEFT * said["lengths"]
+    assert sum(n for _, n in found) <= 1.001 * -(-sum(k * v for k, v in hist.items()) // 2048) + 1
+    # a scarce length is never taken more often than it is there
+    top, ways, _ = packing._priced(np.array([9.0, 1.0]), np.array([300, 100]), np.array([1, 50]), 2048, np.array([0, 1]), np.array([0, 1]))
+    assert top == 26.0 and all((own == 0).sum() <= 1 for own in ways)
