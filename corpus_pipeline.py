@@ -35,8 +35,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences: one row per piece of a document with its sequence and offset."""
-    return packing.packed(docs, tokenizer_path())
+    """The sequences: one row per piece of a document with its sequence and offset, window by window of the order of docs."""
+    return packing.packed(docs, tokenizer_path(), ordered=True)
 
 
 STAGES = [

@@ -43,7 +43,11 @@ REMEMBERED = 450_000
 #: The program is solved until its cover is within this share of its bound; best fit gets at most so many pieces a length.
 GAP, LEFT = 0.02, 4
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, at long"
+#: Windows of a schedule that are packed one after the other, at most; sequences that one has at least; rows of a file that stay together.
+WINDOWS, WINDOW_SEQUENCES, TOGETHER = 8, 64, 1 << 8
+#: Bits of a place that number the row in its file.
+ROW_BITS = 40
 
 
 #: The tokenizer's own split of a text, and the words for which Python's lower case and classes are known to agree with it.
@@ -134,9 +138,16 @@ def ids_of(path: str) -> _Ids:
     return _workers_own[path]
 
 
-def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """One row per piece of at most capacity tokens of each whole text and its end token."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+def laid_out(docs: DataFrame) -> DataFrame:
+    """doc_id, text and at, the place of a row in the order in which docs, a table in files, was written: number of the file's task, row."""
+    file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    task = F.coalesce(F.regexp_extract(file, r"^part-([0-9]+)", 1).try_cast("long"), F.lit(0))
+    return docs.select("doc_id", "text", (task * (1 << ROW_BITS) + row).alias("at"))
+
+
+def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, ordered: bool = False) -> DataFrame:
+    """One row per piece of at most capacity tokens of each whole text and its end token; at is the document's place, 0 unless ordered."""
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("at", pa.int64())])
     tail, step = np.asarray([end], dtype="<u4").tobytes(), 4 * capacity
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,17 +155,18 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
         for batch in batches:
             for at, part in textvec.pieces(batch.column("text")):
                 rows = []
-                for name, text in zip(batch.column("doc_id").slice(at, len(part)).to_pylist(), part.to_pylist(), strict=True):
+                for name, place, text in zip(batch.column("doc_id").slice(at, len(part)).to_pylist(), batch.column("at").slice(at, len(part)).to_pylist(), part.to_pylist(), strict=True):
                     text = text or ""
                     odd = any(map(text.__contains__, _NOT_SPACE))
                     whole = (ids.encode(text) if odd else b"".join(map(ids.__getitem__, parted(text)))) + tail
                     for n, start in enumerate(range(0, len(whole), step)):
                         one = whole[start : start + step]
-                        rows.append((name, n, start // 4, len(one) // 4, zlib.crc32(one)))
+                        rows.append((name, n, start // 4, len(one) // 4, zlib.crc32(one), place))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
+    rows = laid_out(docs) if ordered else docs.select("doc_id", "text", F.lit(0).cast("long").alias("at"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "at").mapInArrow(pieces, PIECES)
 
 
 def _priced(prices: np.ndarray, lengths: np.ndarray, supply: np.ndarray, capacity: int, wanted: np.ndarray, order: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
@@ -328,29 +340,69 @@ def _fill(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np
     return out + _best_fit_decreasing(lengths, left, capacity)
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def windows(tokens: dict[int, int], capacity: int) -> dict[int, int]:
+    """Window of each run of rows, by its place and tokens: consecutive, of about the same number of tokens."""
+    total, before, out = sum(tokens.values()), 0, {}
+    many = max(1, min(WINDOWS, total // (WINDOW_SEQUENCES * capacity)))
+    for at in sorted(tokens):
+        out[at] = min(many - 1, before * many // max(total, 1))
+        before += tokens[at]
+    return out
+
+
+def _stride(n: int) -> int:
+    """A step prime to n, near the golden section, so that its multiples modulo n are spread evenly and meet every number once."""
+    step = max(1, round(n * 0.6180339887))
+    while math.gcd(step, n) > 1:
+        step += 1
+    return step
+
+
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, ordered: bool = False) -> DataFrame:
+    """One row per piece with its sequence and offset.
+
+    ordered: docs is a table whose files and rows are in the order of a
+    schedule. Consecutive windows of it, at most WINDOWS, are packed apart, so
+    that the sequences of a window come after all those of the one before;
+    inside a window sequences of one configuration are spread evenly.
+    """
     spark = docs.sparkSession
-    pieces = durable(tokenised(docs, path, capacity, end), "pieces")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows, sequence, before = [], 0, Counter()
-    found, said = programmed(histogram, capacity)
-    print(f"packing: {said['pieces']} pieces of {said['lengths']} lengths, share placed by the program {said['placed']:.4f}", file=sys.stderr)
-    for one, n in found:
-        offset = 0
-        for length, many in sorted(one.items(), reverse=True):
-            rows.append((length, before[length], before[length] + many * n, many, sequence, offset))
-            before[length] += many * n
-            offset += length * many
-        sequence += n
-    assert before == Counter(histogram), "every piece has a place"
-    names = ("length", "rank0", "rank1", "many", "sequence0", "offset0")
+    pieces = durable(tokenised(docs, path, capacity, end, ordered), "pieces")
+    pieces = pieces.withColumn("run", F.col("at") - F.col("at") % TOGETHER)
+    if ordered:
+        of = windows({r["run"]: r["n"] for r in pieces.groupBy("run").agg(F.sum("length").alias("n")).collect()}, capacity)
+        own = spark.createDataFrame(list(of.items()), "run long, window int")
+        pieces = pieces.join(F.broadcast(own), "run")  # a row per TOGETHER rows of a file
+    else:
+        pieces = pieces.withColumn("window", F.lit(0))
+    histograms: dict[int, dict[int, int]] = {}
+    for r in pieces.groupBy("window", "length").agg(F.count(F.lit(1)).alias("n")).collect():
+        histograms.setdefault(r["window"], {})[r["length"]] = r["n"]
+    rows, first = [], 0
+    for window, histogram in sorted(histograms.items()):
+        found, said = programmed(histogram, capacity)
+        print(f"packing: window {window}, {said['pieces']} pieces of {said['lengths']} lengths, share placed by the program {said['placed']:.4f}", file=sys.stderr)
+        sequence, before, many_here = 0, Counter(), sum(n for _, n in found)
+        stride = _stride(many_here) if ordered else 1
+        for one, n in found:
+            offset = 0
+            for length, many in sorted(one.items(), reverse=True):
+                rows.append((window, length, before[length], before[length] + many * n, many, sequence, offset, first, many_here, stride))
+                before[length] += many * n
+                offset += length * many
+            sequence += n
+        assert before == Counter(histogram), "every piece has a place"
+        first += sequence
+    names = ("window", "length", "rank0", "rank1", "many", "sequence0", "offset0", "first", "all", "stride")
     places = spark.createDataFrame(rows, T.StructType([T.StructField(f"p_{x}", T.LongType()) for x in names]))
-    own = ranked(pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"], ["doc_id", "piece"], few_keys=True)
+    own = ranked(pieces, ["window", "length"], ["doc_id", "piece", "start", "ids_crc32"], ["doc_id", "piece"], few_keys=True)
     # its rows are bounded by the lengths in a configuration, not by the corpus
-    found = own.join(F.broadcast(places), (F.col("length") == F.col("p_length")) & (F.col("__rank") >= F.col("p_rank0")) & (F.col("__rank") < F.col("p_rank1")))
+    same = (F.col("window") == F.col("p_window")) & (F.col("length") == F.col("p_length"))
+    found = own.join(F.broadcast(places), same & (F.col("__rank") >= F.col("p_rank0")) & (F.col("__rank") < F.col("p_rank1")))
     inside = F.col("__rank") - F.col("p_rank0")
+    within = (F.col("p_sequence0") + F.floor(inside / F.col("p_many"))).cast("long")
     return found.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("p_sequence0") + F.floor(inside / F.col("p_many"))).cast("long").alias("sequence_id"),
+        (F.col("p_first") + within * F.col("p_stride") % F.col("p_all")).cast("long").alias("sequence_id"),
         (F.col("p_offset0") + (inside % F.col("p_many")) * F.col("length")).cast("long").alias("offset"),
     )

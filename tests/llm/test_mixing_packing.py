@@ -122,3 +122,30 @@ def test_the_program_places_nearly_all():
     # a scarce length is never taken more often than it is there
     top, ways, _ = packing._priced(np.array([9.0, 1.0]), np.array([300, 100]), np.array([1, 50]), 2048, np.array([0, 1]), np.array([0, 1]))
     assert top == 26.0 and all((own == 0).sum() <= 1 for own in ways)
+
+
+def test_prefixes_of_sequences_follow_the_schedule(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(200, 900))), "hot" if i % 3 else "cold") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {i: s for i, _, s in rows}
+    mixing.mixed(docs, weights={"hot": 1.0, "cold": 3.0}).write.parquet(f"{tmp_path}/mixed.parquet")
+    docs.write.parquet(f"{tmp_path}/plain.parquet")
+
+    def shares(name):
+        got = corpus_pipeline.best_fit_packing(spark, spark.read.parquet(f"{tmp_path}/{name}.parquet"), "").collect()
+        assert Counter(r["doc_id"] for r in got) == Counter(source.keys())
+        ids = sorted({r["sequence_id"] for r in got})
+        assert ids == list(range(len(ids)))
+        out = []
+        for part in (0.125, 0.25):
+            tokens = Counter()
+            for r in got:
+                if r["sequence_id"] < part * len(ids):
+                    tokens[source[r["doc_id"]]] += r["length"]
+            out.append(tokens["cold"] / sum(tokens.values()))
+        return out
+
+    assert all(abs(x - 0.75) < 0.06 for x in shares("mixed")) and all(x < 0.5 for x in shares("plain"))
