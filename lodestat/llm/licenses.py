@@ -1,7 +1,10 @@
 """Licence scans: a trained paragraph classifier whose findings templates confirm.
 
-A paragraph is a line; a line of more than LONGEST words is read in windows
-that overlap by half. Its features are word 1- to 3-grams (runs of letters and
+A paragraph is what stands between lines without words. Read are each line of
+it (a line of more than LONGEST words in windows that overlap by half), the
+WINDOW words from the beginning of each line on, across line ends and comment
+marks, and the whole paragraph if it has at most LONGEST words; of findings
+of a family that overlap, the one with the best share stays. Its features are word 1- to 3-grams (runs of letters and
 digits, lower case), hashed, scaled by the root of their number. A multinomial
 logistic regression with one class per licence family and one for unknown is
 trained in numpy on the notices below, worn by dropped words and text around
@@ -81,10 +84,11 @@ GRAMS, SLOTS, LONGEST, WINDOW = 3, 1 << 16, 80, 40
 TEXTS, PARAGRAPHS, LEAST, CONFIRMING, FAINT = 1_000, 3_000, 0.6, 0.6, 0.2
 
 
-def _units(data: np.ndarray, at: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word and one past the last of each paragraph or window, by the place of words and the bytes they begin at."""
+def _units(data: np.ndarray, at: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, one past the last, and whether it is more than one line, of each unit, by the place of words and the bytes they begin at."""
     breaks = np.searchsorted(firsts, np.flatnonzero(data == 0x0A))
-    cuts = np.unique(np.concatenate([at, breaks]))
+    blank = breaks[1:][breaks[1:] == breaks[:-1]]  # two line breaks without a word between them
+    cuts, stops = np.unique(np.concatenate([at, breaks])), np.unique(np.concatenate([at, blank]))
     s, e = cuts[:-1], cuts[1:]
     long_ = e - s > LONGEST
     begins, ends = [s[~long_]], [e[~long_]]
@@ -92,9 +96,50 @@ def _units(data: np.ndarray, at: np.ndarray, firsts: np.ndarray) -> tuple[np.nda
         w = np.arange(a, b - WINDOW // 2, WINDOW // 2)
         begins.append(w)
         ends.append(np.minimum(w + WINDOW, b))
+    lines = sum(map(len, begins))
+    end = stops[np.searchsorted(stops, s, side="right")]  # of the paragraph that a line is in
+    some = ~long_ & (np.minimum(end, s + WINDOW) > e)
+    begins.append(s[some])
+    ends.append(np.minimum(end, s + WINDOW)[some])
+    whole = (end - s <= LONGEST) & (end > np.maximum(e, s + WINDOW)) & np.isin(s, stops)
+    begins.append(s[whole])
+    ends.append(end[whole])
     s, e = np.concatenate(begins), np.concatenate(ends)
     order = np.argsort(s, kind="stable")
-    return s[order], e[order]
+    return s[order], e[order], (np.arange(len(s)) >= lines)[order]
+
+
+def _clear(said: str) -> str:
+    """said without lines at its end that hold no word."""
+    said = said.rstrip()
+    while "\n" in said and not re.search(r"[^\W_]", said[said.rindex("\n") :]):
+        said = said[: said.rindex("\n")].rstrip()
+    return said
+
+
+class _Hit(NamedTuple):
+    share: float
+    start: int
+    end: int
+    family: str
+    probability: float
+    said: str
+
+
+def merged(hits: list[_Hit]) -> list[_Hit]:
+    """Of hits of one family that overlap, the one with the best share, then the shortest; words inside a confirmed finding speak for no other family."""
+    kept: list[_Hit] = []
+    for hit in sorted(hits, key=lambda h: (-h.share, h.end - h.start, h.start, h.family)):
+        over = [k for k in kept if k.start < hit.end and k.end > hit.start]
+        if any(k.family == hit.family for k in over):
+            continue
+        if sure := [k for k in over if k.share >= CONFIRMING]:
+            said = "".join(c for i, c in enumerate(hit.said, hit.start) if not any(k.start <= i < k.end for k in sure))
+            hit = hit._replace(share=max(held(said, n) for n in NOTICES[hit.family]))
+            if hit.share < FAINT:
+                continue
+        kept.append(hit)
+    return sorted(kept, key=lambda h: (h.start, h.end, h.family))
 
 
 def _slots(hashes: np.ndarray) -> list[np.ndarray]:
@@ -214,7 +259,7 @@ def scan(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
             for at, part in textvec.pieces(lower):
                 data, bounds = textvec.raw(part)
                 hashes, firsts, of = textvec.words(data, bounds, letters=True)
-                s, e = _units(data, of, firsts)
+                s, e, lines = _units(data, of, firsts)
                 sums, many = np.zeros((len(s), len(intercept))), np.zeros(len(s))
                 for n, slots in enumerate(_slots(hashes)):
                     run = np.concatenate([np.zeros((1, len(intercept))), np.cumsum(weights[slots], axis=0, dtype=np.float64)])
@@ -226,22 +271,19 @@ def scan(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
                 p /= p.sum(axis=1, keepdims=True)
                 best = p[:, :-1].argmax(axis=1) if len(p) else np.zeros(0, np.int64)
                 hits = np.flatnonzero((p[np.arange(len(p)), best] >= least) & (many > 0))
-                rows, ends = [], {}
+                found: dict[int, list[_Hit]] = {}
                 for i in hits.tolist():
                     text = int(np.searchsorted(of, s[i], side="right")) - 1
                     whole = data[bounds[text] : bounds[text + 1]].tobytes()
                     a = int(firsts[s[i]] - bounds[text])
                     z_ = int(firsts[e[i]] - bounds[text]) if e[i] < of[text + 1] else len(whole)
-                    said = whole[a:z_].split(b"\n")[0].decode().rstrip()
-                    begin = len(whole[:a].decode())
+                    said = _clear(whole[a:z_].decode()) if lines[i] else whole[a:z_].split(b"\n")[0].decode().rstrip()
                     family = families[best[i]]
-                    if ends.get((text, family), -1) > begin:  # the window before it was given to the same family
-                        continue
                     share = max(held(said, notice) for notice in NOTICES[family])
-                    if share < FAINT:
-                        continue
-                    ends[text, family] = begin + len(said)
-                    rows.append((batch.column("doc_id")[at + text].as_py(), begin, begin + len(said), family, float(p[i, best[i]]), share >= CONFIRMING, share))
+                    if share >= FAINT:
+                        begin = len(whole[:a].decode())
+                        found.setdefault(text, []).append(_Hit(share, begin, begin + len(said), family, float(p[i, best[i]]), said))
+                rows = [(batch.column("doc_id")[at + text].as_py(), h.start, h.end, h.family, h.probability, h.share >= CONFIRMING, h.share) for text, own in sorted(found.items()) for h in merged(own)]
                 columns = list(zip(*rows, strict=True)) or [()] * len(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -162,3 +162,28 @@ def test_pipeline(spark, tmp_path, corpus):
     assert not any("jo@mail" in t for t in after_pii.values())
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == set(after_mix)
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows, want = [(i, "\n".join(prose(rng.randint(5, 100)) for _ in range(3))) for i in range(100, 300)], {}
+    at = 0
+    for family, n in (("mit", 2), ("gpl-2.0", 1), ("gpl-3.0", 2), ("lgpl", 1), ("bsd", 2)):
+        for mark in ("", "# ", " * "):
+            lines = [mark + x for x in textwrap.wrap(licenses.NOTICES[family][n], 72 - len(mark))]
+            before = [mark.rstrip(), prose(9), mark.rstrip()]
+            rows.append((at, "\n".join([*before, *lines, mark.rstrip(), prose(30)])))
+            want[at] = family
+            at += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan(docs, licenses.fit(docs.where("doc_id >= 100"), texts=200, paragraphs=800)).where("confirmed").collect()
+    assert sorted((r["doc_id"], r["family"]) for r in got) == sorted(want.items())
+
+
+def test_a_faint_window_hides_no_finding():
+    hits = [licenses._Hit(0.3, 0, 50, "mit", 0.9, "x" * 50), licenses._Hit(1.0, 25, 75, "mit", 0.8, "x" * 50), licenses._Hit(0.7, 200, 250, "mit", 0.8, "x" * 50)]
+    assert [(h.start, h.share) for h in licenses.merged(hits)] == [(25, 1.0), (200, 0.7)]
