@@ -1,16 +1,18 @@
-"""Personal data: patterns, and the terms around them that give the same person away.
+"""Personal data: patterns, and the terms in their documents that give the same person away.
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers.
 The information-theoretic part asks what a reader learns about a protected
-entity (one such value) from the words beside it. Over the whole corpus,
+entity (one such value) from the other words of its documents. Over the whole corpus,
 
     disclosure(term, entity) = PMI(term; entity) / IC(entity)
                              = 1 - ln(docs(term) / docs(term, entity)) / ln(docs / docs(entity))
 
 is 1 for a term that occurs with the entity only and falls as it occurs
-elsewhere. Beside the entity, terms at or above generalise_at are generalised
-to a class mark and those at or above remove_at are removed; a pair needs
-least_texts different texts, for one meeting is no evidence. Documents without
+elsewhere; docs() counts whole documents. In every document of the entity,
+each place of a term at or above generalise_at is generalised to a class mark
+and of one at or above remove_at is removed. A pair must also be met more
+often than independent words would with probability chance, over all pairs
+that are judged, and in two different texts at least. Documents without
 a protected value are left as they are.
 
 Everything is column expressions and joins. Defined results: null text is
@@ -21,6 +23,8 @@ judged; an empty table gives an empty result. Extra columns keep their values.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +39,12 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"\p{L}{4,}+"
+#: Runs of letters and digits, three or more; two of scripts that write names so.
+TERM = r"[\p{L}\p{N}]{3,}+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]{2,}+"
 DIGITS = "regexp_replace({0}, '[^0-9]', '')"
 
-#: Code points on either side of a value that count as beside it.
-BESIDE = 48
-LEAST_TEXTS, GENERALISE_AT, REMOVE_AT = 3, 0.9, 0.97
+#: Chance, over all pairs judged, that one is met so often without dependence; then the limits of disclosure.
+CHANCE, GENERALISE_AT, REMOVE_AT = 0.001, 0.9, 0.97
 
 _TEXT = "coalesce(text, '')"
 _SPANS = "array<struct<k:int,kind:string,s:int,e:int,v:string>>"
@@ -61,51 +65,67 @@ def _base(text: str) -> str:
     })
 
 
-def _beside(text: str, b: str) -> str:
-    """array<struct<entity, term, s, e>>: the whole words of letters within BESIDE of each span of b, outside all spans."""
-    left = f"transform(array(greatest(x.s - {BESIDE}, 0)), f -> transform(filter({spans.found(f'substring({text}, f + 1, x.s - f)', TERM)}, t -> t.s > 0 OR f = 0), t -> named_struct('s', t.s + f, 'e', t.e + f, 'v', t.v)))[0]"
-    right = f"transform(filter({spans.found(f'substring({text}, x.e + 1, {BESIDE})', TERM)}, t -> t.e < {BESIDE}), t -> named_struct('s', t.s + x.e, 'e', t.e + x.e, 'v', t.v))"
-    entity = f"concat(x.kind, ':', CASE WHEN x.kind IN ('card', 'phone') THEN {DIGITS.format('x.v')} ELSE lower(x.v) END)"
-    words = f"filter(concat({left}, {right}), t -> NOT exists({b}, y -> t.s < y.e AND t.e > y.s))"
-    return f"flatten(transform({b}, x -> transform({words}, t -> named_struct('entity', {entity}, 'term', lower(t.v), 's', t.s, 'e', t.e))))"
+def _entities(b: str) -> str:
+    """The different values among the spans of b, in one spelling each."""
+    return f"array_distinct(transform({b}, x -> concat(x.kind, ':', CASE WHEN x.kind IN ('card', 'phone') THEN {DIGITS.format('x.v')} ELSE lower(x.v) END)))"
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, key, base (pattern spans), beside (words near them with the entity they are near); one pass."""
+    """doc_id, key, base (pattern spans), entities (the values they hold); one pass."""
     rows = docs.select("doc_id", "text").withColumn("key", text_key())
-    return rows.selectExpr("doc_id", "key", f"inline(transform(array({_base(_TEXT)}), b -> named_struct('base', b, 'beside', {_beside(_TEXT, 'b')})))")
+    return rows.selectExpr("doc_id", "key", f"inline(transform(array({_base(_TEXT)}), b -> named_struct('base', b, 'entities', {_entities('b')})))")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, least_texts: int = LEAST_TEXTS, generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or above generalise_at; counts are of documents, over all of docs."""
-    near = found.where("size(beside) > 0").select("doc_id", "key", F.explode("beside").alias("x")).select("doc_id", "key", "x.entity", "x.term")
-    # a document counts once for a pair: rows are told apart by doc_id and text
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.countDistinct("key").alias("texts"))
-    pairs = durable(pairs.where(F.col("texts") >= least_texts), "near")
-    entities = near.select("doc_id", "key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    said = docs.select(F.explode(F.expr(rf"array_distinct(regexp_extract_all(lower({_TEXT}), r'{TERM}', 0))")).alias("term"))
-    # all words are counted, each task's first by itself; a join with the wanted ones before that would grow faster than the corpus
-    with_term = said.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    total = docs.count()
-    rated = pairs.join(with_term, "term").join(entities, "entity")
-    content = F.log(F.lit(float(total)) / F.col("with_entity"))
-    rate = 1 - F.log(F.greatest(F.col("with_term") / F.col("both"), F.lit(1.0))) / F.nullif(content, F.lit(0.0))
-    return durable(rated.select("entity", "term", rate.alias("disclosure")).where(F.col("disclosure") >= generalise_at), "disclosing")
+def _holding(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of docs, as key, text and marks' own columns, that marks (one row per doc_id and key) knows."""
+    small = sparing(marks, marks.count()).withColumnsRenamed({"doc_id": "__id", "key": "__key"})
+    rows = docs.select("doc_id", "text").withColumn("key", text_key())
+    return rows.join(small, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).drop("__id", "__key")
 
 
-def term_spans(found: DataFrame, disclosed: DataFrame, remove_at: float = REMOVE_AT) -> DataFrame:
-    """(doc_id, key, terms): each document's spans of disclosing terms, once each, by place."""
-    near = found.where("size(beside) > 0").select("doc_id", "key", F.explode("beside").alias("x")).select("doc_id", "key", "x.entity", "x.term", "x.s", "x.e")
-    hit = near.join(sparing(disclosed, disclosed.count()), ["entity", "term"]).groupBy("doc_id", "key", "s", "e", "term").agg(F.max("disclosure").alias("d"))
-    kind = F.when(F.col("d") >= remove_at, F.lit("remove")).otherwise(F.lit("general"))
-    one = F.struct(F.when(kind == "general", 4).otherwise(5).alias("k"), kind.alias("kind"), "s", "e", F.col("term").alias("v"))
-    return hit.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(one)).cast(_SPANS).alias("terms"))
+def _said(found: DataFrame) -> DataFrame:
+    return found.where("size(entities) > 0").select("doc_id", "key", F.explode("entities").alias("entity"))
 
 
-def report(docs: DataFrame, least_texts: int = LEAST_TEXTS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
+    """(entity, term, disclosure) of the pairs at or above generalise_at; counts are of documents (rows), over the whole texts of all of docs."""
+    each = _said(found)
+    entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"), F.countDistinct("key").alias("texts"))
+    entities = durable(entities.where("texts >= 2").select("entity", "with_entity"), "entities")  # one text is no evidence for any term
+    holds = each.distinct().join(sparing(entities, entities.count()), "entity").groupBy("doc_id", "key").agg(F.collect_list("entity").alias("own"))
+    words = F.expr(rf"array_distinct(regexp_extract_all(lower({_TEXT}), r'{TERM}', 0))")
+    near = _holding(docs, durable(holds, "holds")).select("key", F.explode("own").alias("entity"), words.alias("words")).select("key", "entity", F.explode("words").alias("term"))
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.countDistinct("key").alias("texts"))
+    pairs = durable(pairs.where("texts >= 2"), "near")
+    said = docs.select(F.explode(words).alias("term"))
+    # all words are counted, each task's first by itself; a join with the wanted ones before that would grow faster than the corpus
+    with_term = said.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    total = docs.count()
+    rated = pairs.join(with_term, "term").join(entities, "entity")
+    p, q, n = F.col("with_entity") / F.lit(float(max(total, 1))), F.col("both") / F.col("with_term"), F.col("with_term")
+    content = -F.log(p)
+    rate = 1 + F.log(F.least(q, F.lit(1.0))) / F.nullif(content, F.lit(0.0))
+    # Chernoff's bound on the chance that so many of the term's documents hold the entity if they don't depend on each other; copies of a text count once
+    apart = F.when(q < 1, (1 - q) * F.log((1 - q) / F.nullif(1 - p, F.lit(0.0)))).otherwise(0.0)
+    evidence = n * (q * F.log(q / p) + apart) * F.col("texts") / F.col("both")
+    sure = evidence >= math.log(max(pairs.count(), 1) / chance)
+    return durable(rated.where(sure & (q > p)).select("entity", "term", rate.alias("disclosure")).where(F.col("disclosure") >= generalise_at), "disclosing")
+
+
+def term_spans(docs: DataFrame, found: DataFrame, disclosed: DataFrame, remove_at: float = REMOVE_AT) -> DataFrame:
+    """(doc_id, key, terms): every place of a disclosing term in the documents of its entity, outside pattern spans, by place."""
+    hit = _said(found).distinct().join(sparing(disclosed, disclosed.count()), "entity").groupBy("doc_id", "key", "term").agg(F.max("disclosure").alias("d"))
+    marks = durable(hit.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("__d")), "marks")
+    free = f"filter({spans.found(_TEXT, TERM)}, t -> map_contains_key(__d, lower(t.v)) AND NOT exists(b, y -> t.s < y.e AND t.e > y.s))"
+    one = f"transform({free}, t -> named_struct('k', CASE WHEN __d[lower(t.v)] >= {remove_at} THEN 5 ELSE 4 END, 'kind', CASE WHEN __d[lower(t.v)] >= {remove_at} THEN 'remove' ELSE 'general' END, 's', t.s, 'e', t.e, 'v', lower(t.v)))"
+    rows = _holding(docs, marks).selectExpr("doc_id", "key", f"transform(array({_base(_TEXT)}), b -> {one})[0] AS terms")
+    return rows.groupBy("doc_id", "key").agg(F.first("terms").cast(_SPANS).alias("terms"))  # repeated rows have the same
+
+
+def report(docs: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """One row per document: counts of pattern spans, a digest of them, and all spans with the disclosing terms."""
     found = durable(scanned(docs), "scanned")
-    terms = durable(term_spans(found, disclosing(docs, found, least_texts, generalise_at), remove_at), "spans")
+    terms = durable(term_spans(docs, found, disclosing(docs, found, chance, generalise_at), remove_at), "spans")
     small = sparing(terms, terms.count()).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "terms")
     rows = found.join(small, found["doc_id"].eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left")
     every = f"concat(base, coalesce(terms, cast(array() AS {_SPANS})))"
@@ -115,10 +135,10 @@ def report(docs: DataFrame, least_texts: int = LEAST_TEXTS, generalise_at: float
     )
 
 
-def sanitised(docs: DataFrame, least_texts: int = LEAST_TEXTS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def sanitised(docs: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """docs with class marks in the place of personal data; n_chars, if there, follows a text that changed."""
     found = durable(scanned(docs), "scanned")
-    terms = durable(term_spans(found, disclosing(docs, found, least_texts, generalise_at), remove_at), "spans")
+    terms = durable(term_spans(docs, found, disclosing(docs, found, chance, generalise_at), remove_at), "spans")
     small = sparing(terms, terms.count()).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key2"), F.col("terms").alias("__terms"))
     keyed = folded(docs, "doc_id", "text").withColumn("__key", text_key())
     known = keyed.join(small, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__key2")), "left")

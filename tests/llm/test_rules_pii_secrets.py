@@ -181,3 +181,14 @@ def test_secrets_on_odd_input(odd_docs, no_docs):
     got = secrets.report(odd_docs).collect()
     assert len(got) == 8 and secrets.report(no_docs).count() == 0
     assert [r["spans"] for r in got if r["doc_id"] in (1, 2, 3, 4)] == [""] * 5
+
+
+def test_disclosing_terms_anywhere_in_the_document(spark):
+    far = "filler " * 20
+    rows = [(i, f"Lee 山田 kx77 {far}{'Zanzibari ' if i % 3 else far}jane@mail.example {far}{'Zanzibari' if i % 3 == 0 else ''} n{i}") for i in range(12)]
+    rows += [(100 + i, f"{far} others write {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    for i in range(12):
+        assert not re.search("Zanzibari|Lee|山田|kx77|jane", clean[i]) and "filler" in clean[i]
+    assert all(clean[i] == t for i, t in rows if i >= 100)
