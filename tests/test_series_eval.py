@@ -105,3 +105,15 @@ def test_clusters(spark):
     assert got["best_k"] == 2 and got["k_selection"][0]["silhouette"] > 0.5 and got["n_clustered"] == 80
     assert all(r["share"] == 1.0 for r in got["composition"])
     assert cluster.run_clustering(df.limit(3))["note"] == "fewer than 4 failures"
+
+
+def test_silhouette_is_exact_beyond_a_block(spark, monkeypatch):
+    from lodestat.operators import cluster
+
+    rows = [(i, i % 3, float(i % 3) * 2 + (i * 37 % 11) / 5, float(i * 53 % 13)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, label int, x double, y double")
+    whole = cluster.silhouette(df, ["x", "y"], "label", "id").first()
+    monkeypatch.setattr(cluster, "PAIRWISE_ROWS", 50)
+    blocks = cluster.silhouette(df, ["x", "y"], "label", "id").first()
+    assert whole["n"] == blocks["n"] == 120 and abs(whole["silhouette"] - blocks["silhouette"]) < 1e-12
+    assert abs(whole["silhouette"] - cluster.simplified_silhouette(df, ["x", "y"], "label").first()["silhouette"]) > 1e-6
