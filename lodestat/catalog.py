@@ -384,7 +384,7 @@ def cluster_perm_p(spark, sf_dir):
     units = _units(spark, sf_dir)
     rows = []
     for f, cluster_, kind in (("s_acctbal", "l_suppkey", "numeric"), ("n_regionkey", "s_nationkey", "categorical")):
-        got = stats.cluster_permutation(units, cluster_, f, "is_fail", n_perm=200, seed=7, kind=kind)
+        got = stats.cluster_permutation(units, cluster_, f, "is_fail", seed=7, kind=kind)
         rows.append((f, got["statistic"], got["p_value"], got["n_clusters"]))
     return spark.createDataFrame(rows, "factor string, statistic double, p_value double, n_clusters long")
 
@@ -400,19 +400,19 @@ _SCREEN_SQL = _union([
 ])
 
 
-def _screen(spark, sf_dir, n_perm: int) -> DataFrame:
+def _screen(spark, sf_dir) -> DataFrame:
     units = _units(spark, sf_dir)
-    return significance.screen_factors(units, integrate.build_run_level_table(units, ROLES), integrate.build_batch_level_table(units, ROLES), n_perm=n_perm, roles=ROLES, information=False)
+    return significance.screen_factors(units, integrate.build_run_level_table(units, ROLES), integrate.build_batch_level_table(units, ROLES), roles=ROLES)
 
 
 @_query(_SCREEN_SQL, "statistic", "factor method")
 def factor_screen(spark, sf_dir):
-    return _screen(spark, sf_dir, 20).select("factor", "method", "statistic")
+    return _screen(spark, sf_dir).select("factor", "method", "statistic")
 
 
 @_query()
 def factor_ranking(spark, sf_dir):
-    return significance.rank_factors(_screen(spark, sf_dir, 100))
+    return significance.rank_factors(_screen(spark, sf_dir))
 
 
 @_query(f"SELECT factor, sum(o / n * ln(o * n / (r * c))) AS mi FROM (SELECT factor, CAST(o AS DOUBLE) AS o, sum(o) OVER (PARTITION BY factor) AS n, sum(o) OVER (PARTITION BY factor, a) AS r, sum(o) OVER (PARTITION BY factor, is_fail) AS c FROM ({_union([f'SELECT {chr(39)}{c}{chr(39)} AS factor, CAST({c} AS VARCHAR) AS a, is_fail, count(*) AS o FROM {_UNITS_SQL} GROUP BY 2, 3' for c in ('n_regionkey', 'l_linestatus')])})) GROUP BY 1", "mi", "factor")
@@ -607,7 +607,7 @@ def defect_composition(spark, sf_dir):
 @_query()
 def kmeans_select_k(spark, sf_dir):
     z, features = cluster.scaled(_points(spark, sf_dir), _FEATURES)
-    return spark.createDataFrame(cluster.select_k(z, features, "vec_id", (2, 3, 4), starts=3), "k long, silhouette double, inertia double, calinski_harabasz double, davies_bouldin double")
+    return spark.createDataFrame(cluster.select_k(z, features, "vec_id"), "k long, silhouette double, inertia double, calinski_harabasz double, davies_bouldin double")
 
 
 @_query()
@@ -632,7 +632,7 @@ def _model(name: str) -> Query:
     def run(spark, sf_dir):
         parts = evaluate.split(_modelled(spark, sf_dir), "is_fail", ("unit",)).persist()
         train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
-        (scored,), *_ = models.scored(name, train, [test], "is_fail", *models.prepare_features(parts, _MODEL_ROLES), ("unit",), trees=20, rounds=10)
+        (scored,), *_ = models.scored(name, train, [test], "is_fail", *models.prepare_features(parts, _MODEL_ROLES), ("unit",))
         m = evaluate.metrics(scored, "is_fail", "score", F.col("score") >= 0.5)
         parts.unpersist()
         return spark.createDataFrame([(name, m["n"], m["average_precision"], m["roc_auc"], m["f1"], m["accuracy"])], "model string, n long, average_precision double, roc_auc double, f1 double, accuracy double")
@@ -647,7 +647,7 @@ for _key, _name in (("logreg", "logistic_regression"), ("rf", "random_forest"),
 @_query()
 def perm_importance(spark, sf_dir):
     rows = _modelled(spark, sf_dir).withColumn("score", F.col("l_quantity") / 60)
-    got = models.permutation_importance(lambda d: d.withColumn("score", F.col("l_quantity") / 60), rows, "is_fail", ("l_quantity", "l_tax"), ("unit",), repeats=1)
+    got = models.permutation_importance(lambda d: d.withColumn("score", F.col("l_quantity") / 60), rows, "is_fail", ("l_quantity", "l_tax"), ("unit",))
     return spark.createDataFrame([(r["feature"], r["importance"]) for r in got], "feature string, importance double")
 
 
@@ -655,7 +655,7 @@ def _regressed(kind: str) -> Query:
     def run(spark, sf_dir):
         rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.col("n_chars").cast("double").alias("n_chars"), (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).cast("double").alias("spaces"), "lang")
         roles = QualitySchema(label="n_chars", run_numeric=("spaces",), batch_numeric=(), run_categorical=("lang",), batch_categorical=(), measured=("n_chars",))
-        got = models.fit_target(rows, "n_chars", roles, rounds=10)["models"][kind]
+        got = models.fit_target(rows, "n_chars", roles)["models"][kind]
         return spark.createDataFrame([(kind, got["n"], got["mae"], got["rmse"], got["r2"])], "model string, n long, mae double, rmse double, r2 double")
 
     return run

@@ -75,7 +75,7 @@ def classifier(name: str, n: int, width: int, seed: int = SEED, trees: int = 300
     if name == "logistic_regression":
         return LogisticRegression(**common, weightCol="weight", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=2000)
     if name == "random_forest":
-        return RandomForestClassifier(**common, weightCol="weight", numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxDepth=12, seed=seed)
+        return RandomForestClassifier(**common, weightCol="weight", numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxDepth=30, seed=seed)
     if name == "hist_gradient_boosting":
         return GBTClassifier(**common, weightCol="weight", maxIter=rounds, stepSize=0.08, maxBins=255, minInstancesPerNode=20, seed=seed)
     return MultilayerPerceptronClassifier(**common, layers=[width, 32, 16, 2], solver="l-bfgs", maxIter=800 if rounds >= 200 else rounds, seed=seed)

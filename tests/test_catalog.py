@@ -36,3 +36,16 @@ def test_equals_sql(spark, db, name):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_registered_queries_keep_the_operators_defaults(spark):
+    import inspect
+    import re
+
+    from lodestat import catalog
+    from lodestat.operators import models
+
+    own = inspect.getsource(catalog)
+    own = own.replace("n_perm=1)", "")  # the statistic alone, which no permutation changes
+    assert not re.search(r"\b(trees|rounds|repeats|n_perm|starts)=[0-9]|information=False", own)
+    assert models.classifier("random_forest", 100, 4).getMaxDepth() == 30
