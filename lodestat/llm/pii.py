@@ -2,7 +2,9 @@
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers.
 The information-theoretic part asks what a reader learns about a protected
-entity (one such value) from the other words of its documents. Over the whole corpus,
+entity from the other words of its documents: one such value, or the class that
+many persons share (mail domain, network of an address, issuer of a card, area
+of a phone number). Over the whole corpus,
 
     disclosure(term, entity) = PMI(term; entity) / IC(entity)
                              = 1 - ln(docs(term) / docs(term, entity)) / ln(docs / docs(entity))
@@ -66,8 +68,12 @@ def _base(text: str) -> str:
 
 
 def _entities(b: str) -> str:
-    """The different values among the spans of b, in one spelling each."""
-    return f"array_distinct(transform({b}, x -> concat(x.kind, ':', CASE WHEN x.kind IN ('card', 'phone') THEN {DIGITS.format('x.v')} ELSE lower(x.v) END)))"
+    """What the spans of b give away, once each: the values in one spelling, and the class of each, which many persons share."""
+    digits = DIGITS.format("x.v")
+    value = f"concat(x.kind, ':', CASE WHEN x.kind IN ('card', 'phone') THEN {digits} ELSE lower(x.v) END)"
+    of = {"email": "concat('domain:', lower(substring_index(x.v, '@', -1)))", "ip": "concat('network:', substring_index(x.v, '.', 2))", "card": f"concat('issuer:', left({digits}, 6))"}
+    class_ = f"CASE {' '.join(f'WHEN x.kind = {chr(39)}{k}{chr(39)} THEN {c}' for k, c in of.items())} ELSE concat('area:', left({digits}, 4)) END"
+    return f"array_distinct(flatten(transform({b}, x -> array({value}, {class_}))))"
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -87,17 +93,26 @@ def _said(found: DataFrame) -> DataFrame:
     return found.where("size(entities) > 0").select("doc_id", "key", F.explode("entities").alias("entity"))
 
 
+_WORDS = rf"array_distinct(regexp_extract_all(lower({_TEXT}), r'{TERM}', 0))"
+
+
+def _beside(docs: DataFrame, found: DataFrame, entities: DataFrame) -> DataFrame:
+    """(doc_id, key, entity, term): the different words of each document that holds one of entities. A second pass over those documents alone."""
+    holds = _said(found).distinct().join(sparing(entities, entities.count()), "entity").groupBy("doc_id", "key").agg(F.collect_list("entity").alias("own"))
+    rows = _holding(docs, durable(holds, "holds")).select("doc_id", "key", F.explode("own").alias("entity"), F.expr(_WORDS).alias("words"))
+    return rows.select("doc_id", "key", "entity", F.explode("words").alias("term"))
+
+
 def disclosing(docs: DataFrame, found: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """(entity, term, disclosure) of the pairs at or above generalise_at; counts are of documents (rows), over the whole texts of all of docs."""
     each = _said(found)
     entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"), F.countDistinct("key").alias("texts"))
     entities = durable(entities.where("texts >= 2").select("entity", "with_entity"), "entities")  # one text is no evidence for any term
-    holds = each.distinct().join(sparing(entities, entities.count()), "entity").groupBy("doc_id", "key").agg(F.collect_list("entity").alias("own"))
-    words = F.expr(rf"array_distinct(regexp_extract_all(lower({_TEXT}), r'{TERM}', 0))")
-    near = _holding(docs, durable(holds, "holds")).select("key", F.explode("own").alias("entity"), words.alias("words")).select("key", "entity", F.explode("words").alias("term"))
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.countDistinct("key").alias("texts"))
+    near = _beside(docs, found, entities.select("entity"))
+    # copies of a text count once as evidence: rows of a text are summed first, so that no group holds a hot text's rows
+    pairs = near.groupBy("entity", "term", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts"))
     pairs = durable(pairs.where("texts >= 2"), "near")
-    said = docs.select(F.explode(words).alias("term"))
+    said = docs.select(F.explode(F.expr(_WORDS)).alias("term"))
     # all words are counted, each task's first by itself; a join with the wanted ones before that would grow faster than the corpus
     with_term = said.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     total = docs.count()
@@ -114,7 +129,8 @@ def disclosing(docs: DataFrame, found: DataFrame, chance: float = CHANCE, genera
 
 def term_spans(docs: DataFrame, found: DataFrame, disclosed: DataFrame, remove_at: float = REMOVE_AT) -> DataFrame:
     """(doc_id, key, terms): every place of a disclosing term in the documents of its entity, outside pattern spans, by place."""
-    hit = _said(found).distinct().join(sparing(disclosed, disclosed.count()), "entity").groupBy("doc_id", "key", "term").agg(F.max("disclosure").alias("d"))
+    near = _beside(docs, found, disclosed.select("entity").distinct())
+    hit = near.join(sparing(disclosed, disclosed.count()), ["entity", "term"]).groupBy("doc_id", "key", "term").agg(F.max("disclosure").alias("d"))
     marks = durable(hit.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("__d")), "marks")
     free = f"filter({spans.found(_TEXT, TERM)}, t -> map_contains_key(__d, lower(t.v)) AND NOT exists(b, y -> t.s < y.e AND t.e > y.s))"
     one = f"transform({free}, t -> named_struct('k', CASE WHEN __d[lower(t.v)] >= {remove_at} THEN 5 ELSE 4 END, 'kind', CASE WHEN __d[lower(t.v)] >= {remove_at} THEN 'remove' ELSE 'general' END, 's', t.s, 'e', t.e, 'v', lower(t.v)))"

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from lodestat.llm import decision_list, pii, secrets
+from lodestat.llm import decision_list, pii, secrets, spans
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -158,23 +158,83 @@ def test_linked_credentials(spark):
     assert spans[5] == "identifier:0:19,assign:20:43" and len(got) == 6
 
 
+def weak_parts(text):
+    """(kind, start, end) of every weak candidate, overlaps with patterns and all."""
+    plain = {"identifier": secrets.IDENTIFIER.replace("(?i:user_?name|user|login|client_?id|account_?id|access_?key_?id)", "(?:user)"), "account": EMAIL.pattern, "short_access": secrets.SHORT_ACCESS, "random": secrets.RANDOM, "short_hex": secrets.SHORT_HEX, "endpoint": secrets.ENDPOINT, "host": secrets.HOST}
+    out = [(kind, *m.span()) for kind, p in plain.items() for m in re.finditer(p, text)]
+    out += [("short_assign", *m.span()) for m in ASSIGN.finditer(text) if 8 <= len(m[1]) <= 11]
+    mixed = {"random": ("[0-9]", "[a-z]", "[A-Z]"), "short_hex": ("[0-9]", "[a-f]"), "host": (secrets.HOST_ENDS,)}
+    return [(k, a, b) for k, a, b in out if all(re.search(c, text[a:b]) for c in mixed.get(k, ()))]
+
+
 def test_links_by_brute_force(spark):
-    docs, texts = fuzz(spark, "ab. ", ["user=alice", "Zz9Zz9Zz9Zz9Zz9Zz9Zz9Z", "https://h.example/", "password=abcdefghijkl12", " " * 40, "w " * 30], n=200, seed=9)
-    pieces = {"identifier": secrets.IDENTIFIER, "random": secrets.RANDOM, "endpoint": secrets.ENDPOINT}
+    pieces = ["user=alice", "Zz9Zz9Zz9Zz9Zz9Zz9Zz9Z", "https://h.example/", "password=abcdefghijkl12", " token=abcdefgh9 ", " bob@mail.example.com ", " AKIA01234567 ", " 0123456789abc ", " 4111111111111111 ", " db.example.com ", " " * 40, "w " * 30, "w " * 90]
+    docs, texts = fuzz(spark, "ab. ", pieces, n=300, seed=9)
+    ids, keys = secrets.IDENTIFIERS, secrets.SECRETS
+    seen = Counter()
     for r in secrets.report(docs).collect():
         text = texts[r["doc_id"]]
         base = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base_secrets(text).split(",") if s)]
-        weak = []
-        for kind, p in pieces.items():
-            for m in re.finditer(p.replace("(?i:user_?name|user|login|client_?id|account_?id|access_?key_?id)", "(?:user)"), text):
-                if (kind != "random" or (re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]))) and not any(m.start() < b and m.end() > a for _, a, b in base):
-                    weak.append((kind, *m.span()))
-        near = lambda x, kinds: any(k in kinds and a < x[2] + 200 and b > x[1] - 200 for k, a, b in base + weak)  # noqa: E731, B023
-        ids, keys = ("identifier", "access"), ("assign", "hex", "random")
-        want = [x for x in weak if (x[0] == "identifier" and near(x, keys)) or (x[0] == "random" and near(x, ids)) or (x[0] == "endpoint" and near(x, ids) and near(x, keys))]
+        weak = [(k, s, e) for k, s, e in weak_parts(text) if not any(s < b and e > a for _, a, b in base)]
+        good = [(k, a, b) for k, a, b in base + weak if k != "hex" or re.search("[a-f]", text[a:b])]
+        near = lambda x, kinds: any(k in kinds and (x[2] <= a < x[2] + 200 or x[1] - 200 < b <= x[1]) for k, a, b in good)  # noqa: E731, B023
+        want = [x for x in weak if (x[0] in ids and near(x, keys)) or (x[0] in keys and near(x, ids)) or (x[0] in secrets.ENDPOINTS and near(x, ids) and near(x, keys))]
+        seen.update(k for k, _, _ in want)
         order = list(secrets.KINDS).index
         every = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(base + want, key=lambda x: (x[1], order(x[0]), x[2])))
         assert r["spans"] == every, text
+    assert set(seen) == set(secrets.KINDS[3:]), "every weak kind is linked somewhere"
+
+
+def test_parts_that_overlap_complete_nothing(spark):
+    rows = [(1, "user=Zz9Zz9Zz9Zz9Zz9Zz9Zz9Z"), (2, "card 4111111111111111 of bob@mail.example.com"), (3, "key deadbeefdeadbeef0 of bob@mail.example.com")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "hex:5:21", 3: "hex:4:21,account:25:45"}
+
+
+@pytest.mark.parametrize("found", [pii.scanned, secrets.scanned])
+def test_many_matches_take_linear_time(spark, found):
+    import time
+
+    text = "at bob@mail.example.com with password=abcdefghijkl12 "
+    took = {}
+    for n in (2_000, 4_000, 32_000):
+        began = time.perf_counter()
+        rows = found(spark.createDataFrame([(1, text * n)], "doc_id long, text string")).collect()
+        took[n] = time.perf_counter() - began
+        assert len(rows[0]["base"]) == n and rows[0]["base"][-1]["e"] == len(text) * (n - 1) + (23 if found is pii.scanned else 52)
+    assert took[32_000] < 16 * took[4_000] + 5
+
+
+def test_replaced_by_brute_force(spark):
+    rng = random.Random(13)
+    rows, want = [], []
+    for i in range(200):
+        text = "".join(rng.choice("aé日 b") for _ in range(rng.choice([5, 60, 9000])))
+        found = []
+        for _ in range(rng.randint(1, 8)):
+            a = rng.randrange(len(text))
+            found.append((0, rng.choice("xyz"), a, min(len(text), a + rng.randint(1, 12)), ""))
+        rows.append((i, text, found))
+        hidden, out, at = sorted(found, key=lambda x: (x[2], -x[3])), "", 0
+        while hidden:
+            _, kind, first, end, _ = hidden.pop(0)
+            while hidden and hidden[0][2] < end:
+                end = max(end, hidden.pop(0)[3])
+            out, at = out + text[at:first] + f"[{kind}]", end
+        want.append(out + text[at:])
+    docs = spark.createDataFrame(rows, "id int, text string, f array<struct<k:int,kind:string,s:int,e:int,v:string>>")
+    # of equal spans the first's kind is either's
+    got = {r["id"]: re.sub("x|y|z", "k", r["t"]) for r in docs.selectExpr("id", spans.replaced("text", "f", "concat('[', x.kind, ']')") + " AS t").collect()}
+    assert all(got[i] == re.sub("x|y|z", "k", t) for i, t in enumerate(want))
+
+
+def test_terms_of_an_entity_class(spark):
+    """Everyone at one mail domain writes of the same project, from different addresses."""
+    rows = [(i, f"note{'abcdefghijkl'[i]} Blauwal moves on said p{i}@works.example.com today") for i in range(12)]
+    rows += [(100 + i, f"plain notes{i} moves on said q{i}@else{i}.example.org today") for i in range(40)] + [(200 + i, f"others moves on today {i}") for i in range(300)]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("remove:6:13" in got[i] for i in range(12)) and all("remove" not in got[i] and "general" not in got[i] for i in range(100, 140))
 
 
 def test_secrets_on_odd_input(odd_docs, no_docs):
