@@ -52,11 +52,11 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
-def durable(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write df once to the shared folder and return a scan of it: lineage is cut and a lost executor costs nothing."""
+def durable(df: DataFrame, label: str = "t", batch: int = 1_000) -> DataFrame:
+    """Write df once to the shared folder and return a scan of it: lineage is cut and a lost executor costs nothing. batch: rows that a Python worker gets at a time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestat/{label}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with small_batches(spark, batch):
         df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

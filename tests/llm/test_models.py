@@ -111,6 +111,53 @@ def test_nearest(spark):
     assert hits >= 0.95 * 10 * len(got)
 
 
+@pytest.mark.parametrize("how", ["shifted", "large", "tiny", "clusters", "outlier"])
+def test_nearest_of_any_finite_vectors(spark, how):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(1500, 24))
+    if how == "shifted":
+        x += 1e4
+    elif how in ("large", "tiny"):
+        x *= 1e25 if how == "large" else 1e-25
+    elif how == "clusters":
+        x = x * 1e-6 + 1e4 * rng.integers(0, 6, size=(1500, 1))
+    else:
+        x[37] *= 1e30
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=500).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    assert sorted(got) == list(range(0, 1500, 100)) and all(len(v) == 10 for v in got.values())
+    hits = 0
+    for q, found in got.items():
+        want = nearest_by_brute_force(rows, q)
+        hits += len({v for _, _, v in found} & {v for _, v in want})
+        for _, score, v in found:
+            assert score == pytest.approx(float(np.sqrt(((x[v] - x[q]) ** 2).sum())), rel=1e-12)
+    assert hits >= 0.9 * 10 * len(got), how
+
+
+def test_an_id_with_several_vectors_has_the_least(spark):
+    rows = [(0, [1.0, 5.0]), (0, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [9.0, 9.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 1.0), (2, 2, 113**0.5)]
+
+
+def test_a_graph_that_falls_apart_hides_nothing():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    g = ann.Graph(x)
+    g.levels = [np.full_like(level, -1) for level in g.levels]
+    rows = [{"dims": 8, "asks": False, "points": list(range(300)), "vectors": x.tobytes(), "entry": g.entry, "height": g.height, "levels": [level.tobytes() for level in g.levels]}, {"dims": 8, "asks": True, "points": [3, 4], "vectors": x[3:5].tobytes(), "entry": None, "height": None, "levels": None}]
+    (out,) = ann._searcher(11, 64)(iter([pa.RecordBatch.from_pylist(rows)]))
+    got = out.to_pylist()
+    for q in (3, 4):
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        assert [r["point"] for r in got if r["query"] == q] == np.argsort(far, kind="stable")[:11].tolist()
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df).collect()] == [(1, 2, 0.0), (2, 1, 1.0)]
