@@ -11,13 +11,22 @@ from lodestat.llm.queries import tokenizer_path
 
 def test_schedule_stays_within_a_block():
     rng = random.Random(1)
-    for n in (1, 2, 5, 30):
-        whole = mixing.parts({f"s{i}": rng.random() ** 3 for i in range(n)} | ({None: 0.2} if n > 1 else {}))
-        slots, period = mixing.period_slots(whole), sum(whole.values())
-        assert sorted(t for own in slots.values() for t in own) == list(range(period))
-        for s, own in slots.items():
-            given = np.searchsorted(own, np.arange(period), side="right")
-            assert np.abs(given - whole[s] / period * np.arange(1, period + 1)).max() < 1
+    cases = [{f"s{i}": rng.random() ** 3 for i in range(n)} | ({None: 0.2} if n > 1 else {}) for n in (1, 2, 5, 30)]
+    cases += [{"a": 1 / 3, "b": 1 / 7, "c": 0.0005, "d": 1 - 1 / 3 - 1 / 7 - 0.0005, "none": 0.0}, {"a": 0.999, "b": 0.001}, {"a": 2, "b": 3}]
+    for weights in cases:
+        exact = mixing.shares(weights)
+        length = 100_000 if "none" in weights else 20_000
+        found = mixing.slots(exact, {s: int(w * length) + 2 if w else 3 for s, w in exact.items()})
+        for s, own in found.items():
+            if not exact[s]:
+                assert len(own) == 3 and own[0] > max(x[-1] for t, x in found.items() if exact[t]), "after the schedule"
+                continue
+            p, q = exact[s].numerator, exact[s].denominator
+            assert all(j * q // p <= t < -(-(j + 1) * q // p) for j, t in enumerate(own))
+            given = np.searchsorted(own, np.arange(length), side="right")
+            assert max(abs(int(n) * q - p * t) for t, n in enumerate(given, 1)) < q, "less than a block, in whole numbers"
+        filled = sorted(t for own in found.values() for t in own)
+        assert filled[:length] == list(range(length)) and len(filled) == len(set(filled))
 
 
 def test_mixing(spark, odd_docs, no_docs):
@@ -43,6 +52,8 @@ def test_mixing(spark, odd_docs, no_docs):
     laid = mixing.mixed(docs, block_bytes=1000)
     place = {r["doc_id"]: (r["slot"], r["place"]) for r in got}
     assert [r["doc_id"] for r in laid.collect()] == sorted(place, key=place.get)
+    coarse = mixing.scheduled(docs, block_bytes=1000, most=20).collect()
+    assert sorted(r["doc_id"] for r in coarse) == list(range(600)) and 10 <= len({(r["source"], r["block"]) for r in coarse}) <= 20 + 8
     out = mixing.mixed(odd_docs)
     assert out.columns == odd_docs.columns and sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
     assert mixing.scheduled(odd_docs).count() == 8 and mixing.scheduled(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
@@ -55,6 +66,21 @@ def test_target_weights(spark):
     assert many["a"] == 300 and abs(many["b"] - 100) <= 1
 
 
+def test_repeated_rows_follow_the_schedule(spark):
+    rows = [(7, "x" * 100, "a")] * 300 + [(8, "y" * 100, "b")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    laid = [r["source"] for r in mixing.mixed(docs, weights={"a": 1.0, "b": 2.0}, block_bytes=100).collect()]
+    assert Counter(laid) == {"a": 300, "b": 300}
+    assert all(abs(laid[:t].count("b") - 2 * t / 3) < 1 for t in range(1, 450))
+
+
+def test_sources_without_weight_come_last(spark):
+    docs = spark.createDataFrame([(i, "x" * 100, "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    got = mixing.scheduled(docs, {"a": 1.0, "b": 0.0}, block_bytes=100).collect()
+    last = max(r["slot"] for r in got if r["source"] == "a")
+    assert len(got) == 300 and all((r["slot"] > last) == (r["source"] != "a") and r["on_target"] == (r["source"] == "a") for r in got)
+
+
 @pytest.fixture(scope="module")
 def ids():
     return packing._Ids(tokenizer_path())
