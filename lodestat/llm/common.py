@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +123,41 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], salt_on: list[str],
     return out.drop("__buckets", "__bucket", "__b", "__n0", "__a0", *[f"__k_{k}" for k in keys])
 
 
+def known_places(docs: DataFrame) -> DataFrame:
+    """docs with __file and __row, which tell equal rows apart; docs that is no table in files, and hasn't them, is written first."""
+    if {"__file", "__row"} <= {*docs.columns}:
+        return docs
+    place = {"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
+    try:
+        return docs.withColumns(place)
+    except AnalysisException:
+        return durable(docs, "docs").withColumns(place)
+
+
+#: A key with more than this share of a join's rows, and more rows than the second, is split.
+HOT_SHARE, HOT_ROWS = 1e-4, 2_000
+
+
+def split_join(left: DataFrame, rows: int, right: DataFrame, keys: list[str], salt: list[str]) -> DataFrame:
+    """left joined with right, which has one row for each of keys, without a hot key's rows in one task.
+
+    left has so many rows and should be durable. Keys of many rows, fewer than
+    1 / HOT_SHARE of them and so broadcast, are dealt by a hash of salt, and
+    their rows of right are repeated for each share.
+    """
+    limit = max(HOT_ROWS, int(rows * HOT_SHARE))
+    if rows <= limit:
+        return left.join(right, keys)
+    hot = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / limit).cast("long").alias("__shares")).where("__shares > 1")
+    hot = durable(hot.coalesce(1), "hot")
+    if hot.isEmpty():
+        return left.join(right, keys)
+    shares = F.coalesce("__shares", F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("__share", F.pmod(F.xxhash64(*salt), shares)).drop("__shares")
+    again = right.join(F.broadcast(hot), keys, "left").withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("__shares")
+    return dealt.join(again, [*keys, "__share"]).drop("__share")
+
+
 def folded(docs: DataFrame, *names: str) -> DataFrame:
     """docs as one column __doc, beside the columns named: whatever else docs has can't clash with an operator's own names."""
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc"), *[docs[c] for c in names])

@@ -31,11 +31,10 @@ import heapq
 import math
 from fractions import Fraction
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ranked
+from .common import durable, known_places, ranked
 from .near_dups import sparing, text_key
 
 #: Bytes of text in a block, at least; blocks of a schedule, at most (and one more for each source); power of a source's size that gives its default weight.
@@ -85,20 +84,11 @@ def slots(weights: dict[str | None, Fraction], blocks: dict[str | None, int]) ->
     return out
 
 
-def _known_places(docs: DataFrame) -> DataFrame:
-    """docs with __file and __row, which tell equal rows apart; docs that is no table in files is written first."""
-    place = {"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
-    try:
-        return docs.withColumns(place)
-    except AnalysisException:
-        return durable(docs, "docs").withColumns(place)
-
-
 def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, temperature: float = TEMPERATURE, most: int = SLOTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, key, bytes, block, slot, place (order within the slot), on_target, and the columns of docs named by keep."""
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     lean = durable(docs.select("doc_id", F.col("source").cast("string").alias("source"), text_key().alias("key"), size.alias("bytes"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)]), "lean")
-    lean = _known_places(lean)
+    lean = known_places(lean)
     sizes = {r["source"]: r["b"] for r in lean.groupBy("source").agg(F.sum("bytes").alias("b")).collect()}
     while sum(sizes.values()) > block_bytes * most:
         block_bytes *= 2
@@ -137,7 +127,7 @@ def _literal(s: str) -> str:
 def mixed(docs: DataFrame, **given) -> DataFrame:
     """docs, all rows and columns, laid out in schedule order: partition by partition, row by row."""
     names = docs.columns
-    known = _known_places(docs)
+    known = known_places(docs)
     known = known.select(F.struct(*[known[c] for c in names]).alias("__doc"), "__file", "__row", *[known[c] for c in ("doc_id", "text", "source")])
     plan = scheduled(known, keep=("__file", "__row"), **given).select(F.col("__file").alias("__f"), F.col("__row").alias("__r"), F.struct("slot", "place").alias("__at"))
     plan = durable(plan, "plan")
