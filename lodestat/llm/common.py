@@ -163,13 +163,16 @@ def folded(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc"), *[docs[c] for c in names])
 
 
-def labelled(labels: DataFrame, column: str, bound: int, train_fold_only: bool = True) -> DataFrame:
-    """At most bound rows (doc_id, __y) of labels, the same ones for the same table; conflicting or null labels go.
-
-    With train_fold_only, rows whose crc32(doc_id as text) mod 5 is 0 stay out.
-    """
-    rows = labels.select("doc_id", F.col(column).cast("int").alias("__y")).where("doc_id is not null and __y in (0, 1)")
-    if train_fold_only:
-        rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+def labelled(labels: DataFrame, column: str, bound: int) -> DataFrame:
+    """At most bound rows (doc_id, __y) of labels, the same ones for the same table; conflicting or null labels go, and rows whose crc32(doc_id as text) mod 5 is 0."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("__y")).where("doc_id is not null and __y in (0, 1)")
+    rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     rows = rows.groupBy("doc_id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z").drop("__z")
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
+def learned_from(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns of chosen (bounded, one row per doc_id): as many rows as chosen has at most, the least text of an id with several."""
+    names = [c for c in chosen.columns if c != "doc_id"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", *names).agg(F.min("text").alias("text"))

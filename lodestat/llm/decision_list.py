@@ -2,14 +2,16 @@
 
 Everything on the main path is a DataFrame aggregate or a column expression.
 A rule is grown one condition at a time (the condition with the best
-information gain on the growing part), cut back on the pruning part, and
-kept only if it is precise there; rows that it covers leave the table and
-the next rule is grown. The list ends as one CASE expression.
+information gain on the growing part), cut back to those of its conditions that
+do best on the pruning part, and kept only if it is precise there; rows that it
+covers leave the table and the next rule is grown. The list ends as one CASE
+expression. Learned from are labelled rows that pass the base rule and whose
+crc32(doc_id as text) mod 5 is not 0; the others are left to judge it by.
 
 Defined results: a null or empty text has no words, so it fails the base rule
 and is not kept. Repeated rows are judged each by itself. Empty tables, tables
 with no label or one class give an empty list, which keeps every row that
-passes the base rule. Only doc_id and text are read, so other columns may
+passes the base rule. Of an id with several texts the least is learned from. Only doc_id and text are read, so other columns may
 bear any name.
 """
 
@@ -17,11 +19,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, folded, labelled
+from .common import WORD, durable, folded, labelled, learned_from
 
 #: Words of a window, and the base rule's two limits.
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 8, 20, 30
@@ -94,9 +98,8 @@ def base_failed() -> Column:
 
 
 def training_table(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """Statistics of at most bound labelled documents; the ids are broadcast, their number being bounded."""
-    chosen = labelled(labels, "quality", bound, train_fold_only=False)
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "__y")
+    """Statistics of at most bound labelled documents that pass the base rule; the ids are broadcast, their number being bounded."""
+    rows = statistics(learned_from(docs, labelled(labels, "quality", bound)), "__y").where(~base_failed())
     part = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(3)) == 0
     return rows.selectExpr("__y", "doc_id", *[f"cast({e} AS double) AS {f}" for f, e in FEATURES.items()]).withColumn("__prune", part).drop("doc_id")
 
@@ -130,11 +133,29 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_rules: i
         place = edges[c.feature].index(c.threshold)
         return F.col(f"__b_{c.feature}") <= place if c.at_most else F.col(f"__b_{c.feature}") > place
 
+    def all_of(conditions: tuple[Condition, ...]) -> Column:
+        return reduce(lambda a, b: a & b, map(covers, conditions))
+
+    def pruned(rest: DataFrame, grown: list[Condition]) -> tuple[tuple[Condition, ...], float, int]:
+        """The conditions of grown, any of them, that do best on the pruning part (the fewest on ties), their precision there and all rows they cover."""
+        some = [c for n in range(1, len(grown) + 1) for c in combinations(grown, n)]
+        sums = []
+        for i, c in enumerate(some):
+            hit = all_of(c)
+            sums += [F.sum(F.when(hit & F.col("__prune") & (F.col("__y") == y), F.col("n")).otherwise(0)).alias(f"p{i}_{y}") for y in (0, 1)]
+            sums.append(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(f"n{i}"))
+        got = rest.agg(*sums).first()
+        worth = []
+        for i, c in enumerate(some):
+            b, g = got[f"p{i}_0"] or 0, got[f"p{i}_1"] or 0
+            worth.append(((b - g) / (b + g) if b + g else -1.0, b, -len(c), -i, b / (b + g) if b + g else 0.0, got[f"n{i}"] or 0))
+        best = max(worth)
+        return some[-best[3]], best[4], best[5]
+
     rules: list[Rule] = []
     rest = binned
     for _ in range(most_rules):
         grown: list[Condition] = []
-        scores: list[tuple[float, float, int]] = []
         inside = rest
         for _ in range(most_conditions):
             found = counts(inside)
@@ -160,19 +181,14 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_rules: i
             alike = [x for x in tried if x[1].feature == best[1].feature and x[1].at_most == best[1].at_most and x[0] >= 0.97 * best[0]]
             best = min(alike, key=lambda x: x[1].threshold if best[1].at_most else -x[1].threshold)
             grown.append(best[1])
-            b, g = best[2][True, 0], best[2][True, 1]
-            scores.append(((b - g) / (b + g) if b + g else -1.0, b / (b + g) if b + g else 0.0, b + g + best[2][False, 0] + best[2][False, 1]))
             inside = inside.where(covers(best[1]))
         if not grown:
             break
-        keep = max(range(len(grown)), key=lambda i: (scores[i][0], -i))
-        if scores[keep][1] < least_precision or scores[keep][2] < least_covered:
+        kept, precision, covered = pruned(rest, grown)
+        if precision < least_precision or covered < least_covered:
             break
-        rules.append(Rule(tuple(grown[: keep + 1]), scores[keep][1], scores[keep][2]))
-        hit = None
-        for c in grown[: keep + 1]:
-            hit = covers(c) if hit is None else hit & covers(c)
-        rest = rest.where(~hit)
+        rules.append(Rule(kept, precision, covered))
+        rest = rest.where(~all_of(kept))
     return rules
 
 

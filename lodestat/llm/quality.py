@@ -7,7 +7,8 @@ trees of all rows at once: place = 2 * place + 1 + (x > threshold).
 
 Defined results: null text is empty; empty texts have statistics of 0 and are
 scored like others. Without labels of both classes, every score is the share
-of label 1 (0.5 without labels). Repeated rows get the same score. A null
+of label 1 (0.5 without labels). Repeated rows get the same score; of an id
+with several texts the least is learned from. A null
 doc_id is scored and not held out. Labels, language, source and ids are never
 inputs.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import durable, labelled
+from .common import durable, labelled, learned_from
 from .toxicity import held_out
 
 #: Bound of the labelled sample that the trees are fitted on.
@@ -137,7 +138,6 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: f
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> Forest:
     chosen = labelled(labels, "quality", bound)
-    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> Forest:
                 x = statistics(part)
                 yield pa.RecordBatch.from_arrays([batch.column("__y").slice(at, len(part)).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], schema=schema)
 
-    sample = durable(lean.join(F.broadcast(chosen), "doc_id").select("__y", "text").mapInArrow(rows, "y int, x array<double>"), "sample").toArrow()
+    sample = durable(learned_from(docs, chosen).select("__y", "text").mapInArrow(rows, "y int, x array<double>"), "sample").toArrow()
     y = sample.column("y").to_numpy().astype(np.float64)
     x = sample.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), len(STATISTICS))
     order = np.lexsort((y, *x.T))  # the same trees whatever order the rows came in

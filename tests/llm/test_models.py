@@ -83,6 +83,96 @@ def test_trees_split_what_they_should():
     assert quality.boost(x, np.ones(2000)).scores(fresh).min() > 0.99
 
 
+def test_trees_by_plain_loops():
+    """Every tree walked node by node, every leaf added by itself."""
+    rng = np.random.default_rng(23)
+    x = rng.random((600, 4)).round(2)
+    forest = quality.boost(x, (x[:, 0] + x[:, 2] > 1).astype(float), trees=12, depth=3)
+    fresh = rng.random((200, 4)).round(2)
+    for row, score in zip(fresh, forest.scores(fresh), strict=True):
+        z = forest.base
+        for feature, threshold, value in zip(forest.feature, forest.threshold, forest.value, strict=True):
+            node = 0
+            while node < 7:
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            z += value[node - 7]
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
+
+
+def test_statistics_by_plain_loops():
+    import re
+
+    import pyarrow as pa
+
+    texts = ["One two two. THREE!! 4\n\nx y z x y z", "", None, "é ü é", "a b c d e f g h " * 3]
+    got = quality.statistics(pa.array(texts))
+    for text, row in zip(texts, got, strict=True):
+        text = text or ""
+        raw, w = text.encode(), re.findall(rb"[^\x20\x09-\x0d]+", text.encode())
+        share = lambda members: sum(b in members for b in raw) / max(len(raw), 1)  # noqa: E731, B023
+        runs = [tuple(w[i : i + 8]) for i in range(len(w) - 7)] or ([tuple(w)] if w else [])
+        n = max(len(w), 1)
+        want = {
+            "words": np.log1p(len(w)), "bytes_per_word": sum(map(len, w)) / n, "distinct": len(set(w)) / n**0.9, "most_common": max(map(w.count, w), default=0) / n,
+            "adjacent": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, "repeated": (len(runs) - len(set(runs))) / n,
+        } | {name: share(members) for name, members in quality._CLASSES.items()}
+        assert row.tolist() == pytest.approx([want[name] for name in quality.STATISTICS]), text
+
+
+def test_risk_by_definition():
+    """A step down the estimator's slope lowers the risk as the definition gives it, text by text."""
+    rng = np.random.default_rng(4)
+    size, prior = 12, 0.2
+
+    def sample(n, toxic):
+        rows = [sorted(set(rng.choice(6, 2).tolist() if rng.random() < toxic else []) | set((6 + rng.choice(6, 3)).tolist())) for _ in range(n)]
+        return rows, (np.concatenate([np.array(r) for r in rows]), np.cumsum([0, *map(len, rows)]))
+
+    (p_rows, p), (u_rows, u) = sample(60, 1.0), sample(300, 0.2)
+
+    def risk(w, b):
+        z = lambda row: sum(w[j] for j in row) + b
+        loss = lambda t: np.log1p(np.exp(-t))
+        toxic = prior * np.mean([loss(z(r)) for r in p_rows])
+        clean = np.mean([loss(-z(r)) for r in u_rows]) - prior * np.mean([loss(-z(r)) for r in p_rows])
+        return toxic + max(0.0, clean)
+
+    begin = risk(np.zeros(size), np.log(prior / (1 - prior)))
+    w, b = toxicity.non_negative_pu(p, u, size, prior, decay=0.0)
+    assert risk(w, b) < 0.7 * begin and min(w[:6]) > max(w[6:])
+    w1, b1 = toxicity.non_negative_pu(p, u, size, prior, steps=1, rate=1e-3, decay=0.0)
+    assert risk(w1, b1) < begin
+
+
+def test_toxicity_scores_by_plain_loops(corpus):
+    import re
+
+    import pyarrow as pa
+
+    docs, labels, _ = corpus
+    names, weights, intercept = toxicity.fit(docs, labels)
+    weight = dict(zip(names.tolist(), weights.tolist(), strict=True))
+    texts = {r["doc_id"]: r["text"] for r in docs.limit(150).collect()}
+    hashed = lambda word: {int(h) & 0xFFFFFFFF for h in toxicity._hashes(pa.array([word]))[0]}
+    seen = {}
+    for r in toxicity.scored(docs, (names, weights, intercept)).collect():
+        if r["doc_id"] in texts:
+            features = set()
+            for word in re.findall(r"[^\W_]+", texts[r["doc_id"]].lower()):
+                if word not in seen:
+                    seen[word] = hashed(word)
+                features |= seen[word]
+            z = intercept + sum(weight.get(f, 0.0) for f in features)
+            assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_a_repeated_id_counts_once(spark, corpus):
+    docs, labels, _ = corpus
+    again = docs.unionByName(docs.where("doc_id = 1").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("copy"))
+    for a, b in ((toxicity.fit(docs, labels), toxicity.fit(again, labels)), (quality.fit(docs, labels), quality.fit(again, labels))):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+
+
 def nearest_by_brute_force(rows, q, k=10):
     x = {i: np.asarray(v, float) for i, v in rows}
     far = sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), i) for i in x if i != q)
@@ -211,6 +301,37 @@ def test_pipeline(spark, tmp_path, corpus):
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == set(after_mix)
 
 
+def test_licence_probabilities_by_dictionary(spark):
+    """Each finding's paragraph scored again: n-gram by n-gram, class by class, from a dictionary."""
+    import re
+
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(200)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    notices = [n for own in licenses.NOTICES.values() for n in own]
+    rows = [(i, f"{prose(12)}\n{notices[i % len(notices)]}\n\n{prose(100)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = licenses.fit(docs, texts=60, paragraphs=200)
+    got = licenses.scan(docs, model).collect()
+    assert len({r["doc_id"] for r in got}) >= 55
+    from lodestat.llm import textvec
+
+    import pyarrow as pa
+
+    def probability(said, family):
+        words = re.findall(r"[^\W_]+", said.lower())
+        hashes = [textvec.words(*textvec.raw(pa.array([w])), letters=True)[0][0] for w in words]
+        grams = [int(licenses._slots(np.array(hashes[i : i + n], np.uint64))[n - 1][0]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+        weight = {g: model.weights[g] for g in set(grams)}
+        z = [(sum(float(weight[g][c]) for g in grams) / max(len(grams), 1) ** 0.5 + model.intercept[c]) / model.temperature for c in range(len(model.intercept))]
+        e = [np.exp(x - max(z)) for x in z]
+        return e[model.families.index(family)] / sum(e)
+
+    for r in got:
+        said = rows[r["doc_id"]][1][r["start"] : r["end"]]
+        assert r["probability"] == pytest.approx(probability(said, r["family"]), abs=1e-4) and r["held"] == pytest.approx(max(licenses.held(said, n) for n in licenses.NOTICES[r["family"]]))
+
+
 def test_wrapped_licences(spark):
     import textwrap
 
