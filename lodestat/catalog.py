@@ -114,7 +114,7 @@ def missing_by_row(spark, sf_dir):
 
 @_query(f"SELECT 'reading' AS \"column\", count(*) AS n_unparsable, min(reading) AS example FROM {_DIRTY_SQL} WHERE reading IS NOT NULL AND TRY_CAST(reading AS DOUBLE) IS NULL HAVING count(*) > 0", "", "column n_unparsable example")
 def dtype_issues(spark, sf_dir):
-    return quality.dtype_issues(_dirty(spark, sf_dir), ["reading"])
+    return quality.dtype_issues(_dirty(spark, sf_dir), ["reading"]).drop("examples")
 
 
 # --- integration and cleaning -----------------------------------------------
@@ -545,14 +545,14 @@ def strat_split_sizes(spark, sf_dir):
     return evaluate.split(_table(spark, sf_dir, "labels"), "toxic", ("doc_id",)).groupBy("toxic", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query()
+@_query("SELECT toxic, CAST(i % 5 AS INT) AS fold, count(*) AS n FROM (SELECT toxic, unnest(range(1, count(*) + 1)) AS i FROM labels GROUP BY 1) GROUP BY 1, 2", "", "toxic fold n")
 def cv_folds(spark, sf_dir):
     return evaluate.folds(_table(spark, sf_dir, "labels"), "toxic", ("doc_id",)).groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- clustering -------------------------------------------------------------------------
 
-_DIMS = 6
+_DIMS = 64
 _FEATURES = [f"x{i}" for i in range(_DIMS)]
 _POINTS_SQL = "(SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(_DIMS)) + " FROM embeddings)"
 

@@ -3,15 +3,30 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from . import __version__
 from .operators import integrate, significance
-from .plans import pipeline, report
+from .plans import checks, pipeline, report
 from .schema import N_PERM, SEED
 from .session import session
 from .sources import synth, tables
 
 
+COMMANDS = ("run", "stability", "info", "reproduce", "calibrate")
+
+
+def info() -> str:
+    """Versions and the settings that every run starts from."""
+    import pyspark
+
+    from . import schema
+
+    names = ("SEED", "ALPHA", "N_PERM", "CV_FOLDS", "TEST_SHARE", "VALIDATION_SHARE", "DRIFT_BINS", "DRIFT_PSI", "DRIFT_KS_STATISTIC", "BASELINE_SHARE", "NEAR_CONSTANT")
+    lines = [f"lodestat {__version__}, pyspark {pyspark.__version__}, python {sys.version.split()[0]}", *[f"{n.lower()}: {getattr(schema, n)}" for n in names]]
+    return "\n".join([*lines, *[f"{c}: {lo} to {hi}" for c, (lo, hi) in schema.LIMITS.items()]])
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodestat")
     p.add_argument("--version", action="version", version=__version__)
@@ -29,7 +44,15 @@ def parser() -> argparse.ArgumentParser:
     stable.add_argument("--seeds", type=int, default=5)
     stable.add_argument("--out", default="out")
     stable.add_argument("--n-perm", type=int, default=200)
-    sub.add_parser("info", help="versions")
+    sub.add_parser("info", help="versions and settings")
+    again = sub.add_parser("reproduce", help="two runs, the second on the tables that the first wrote, compared file by file")
+    again.add_argument("--out", default="out")
+    again.add_argument("--n-perm", type=int, default=200)
+    again.add_argument("--light", action="store_true")
+    tuned = sub.add_parser("calibrate", help="whether the made-up factory's causes can be found, and its figures")
+    tuned.add_argument("--seeds", type=int, default=5)
+    tuned.add_argument("--out", default="out")
+    tuned.add_argument("--n-perm", type=int, default=300)
     return p
 
 
@@ -48,20 +71,27 @@ def stability(spark, seeds: list[int], n_perm: int) -> dict:
 
 
 def main(argv: list[str] | None = None) -> int:
-    p = parser()
-    args = p.parse_args(argv)
-    if args.command is None:
-        args = p.parse_args(["run", *(argv or [])])
+    given, p = sys.argv[1:] if argv is None else list(argv), parser()
+    # without a command the arguments are those of run
+    first = next((a for a in given if not a.startswith("-")), None)
+    args = p.parse_args(given if first in COMMANDS or {*given} & {"-h", "--help", "--version"} else ["run", *given])
     if args.command == "info":
-        import pyspark
-
-        print(f"lodestat {__version__}, pyspark {pyspark.__version__}")
+        print(info())
         return 0
     spark = session()
     if args.command == "stability":
         got = stability(spark, [SEED + i for i in range(args.seeds)], args.n_perm)
-        tables.write_json(got, f"{args.out}/stability.json")
+        tables.write_json(got, f"{args.out}/stability.json", spark)
         print(report.table(["factor", "naive", "cluster", "own level"], [[r["factor"], r["naive"], r["cluster"], r["own"]] for r in got["factors"]]))
         return 0
+    if args.command == "reproduce":
+        got = checks.reproducibility(spark, args.out, args.n_perm, args.light)
+        print(report.table(["file", "same"], [[name, same] for name, same in got["files"].items()]))
+        return 0 if got["same"] else 1
+    if args.command == "calibrate":
+        got = checks.calibration(spark, [SEED + 1000 * i for i in range(args.seeds)], args.n_perm, ranking_of)
+        tables.write_json(got, f"{args.out}/calibration.json", spark)
+        print(report.table(["group", "factor", "naive", "cluster", "own level"], [[r["group"], r["factor"], r["naive"], r["cluster"], r["own"]] for r in got["factors"]]))
+        return 0
     pipeline.run_pipeline(spark, args.out, args.data_dir, args.seed, args.regenerate_data, args.n_perm, not args.no_plots, log=(lambda _: None) if args.quiet else print, light=args.light)
     return 0

@@ -146,10 +146,23 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str) -> Dat
 
 
 def spearman(flat: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """by, n, rho over complete pairs."""
+    """by, n, rho over complete pairs; null under three pairs or without spread.
+
+    Equal pairs are counted before anything is joined: a column of few values
+    leaves few rows, and the mean of average ranks is (n + 1) / 2 exactly.
+    """
     rows = flat.select(*by, finite(x).alias("__x"), finite(y).alias("__y")).where("__x is not null and __y is not null")
-    rows = average_ranks(average_ranks(rows, by, "__x", "__rx"), by, "__y", "__ry")
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("__rx"), F.col("__ry")).alias("rho"))
+    pairs = rows.groupBy(*by, "__x", "__y").agg(F.count(F.lit(1)).alias("__w"))
+
+    def ranks(value: str, out: str) -> DataFrame:
+        run = prefix.running(pairs.groupBy(*by, value).agg(F.sum("__w").alias("__t")), by, value, ["__t"])
+        return run.select(*by, value, (F.col("__t__before") + (F.col("__t") + 1) / 2).alias(out))
+
+    sizes = pairs.groupBy(*by).agg(F.sum("__w").alias("n"))
+    ranked = pairs.join(ranks("__x", "__rx"), [*by, "__x"]).join(ranks("__y", "__ry"), [*by, "__y"]).join(sizes, list(by))
+    a, b = F.col("__rx") - (F.col("n") + 1) / 2, F.col("__ry") - (F.col("n") + 1) / 2
+    got = ranked.groupBy(*by, "n").agg(*[F.sum(F.col("__w") * z).alias(c) for c, z in (("ab", a * b), ("aa", a * a), ("bb", b * b))])
+    return got.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))
 
 
 def kruskal(flat: DataFrame, by: Sequence[str], group: str, value: str) -> DataFrame:

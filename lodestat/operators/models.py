@@ -140,7 +140,7 @@ def cross_validate(df: DataFrame, label: str, key: Sequence[str], numeric: Seque
     return out
 
 
-def run_modeling(df: DataFrame, roles: QualitySchema = DEFAULT, seed: int = SEED, names: Sequence[str] = MODELS, include_perf: bool = False, cv: bool = True, trees: int = 300, rounds: int = 200) -> dict:
+def run_modeling(df: DataFrame, roles: QualitySchema = DEFAULT, seed: int = SEED, names: Sequence[str] = MODELS, include_perf: bool = False, cv: bool = True, trees: int = 300, rounds: int = 200, repeats: int = 5) -> dict:
     """Each model: threshold from validation rows, test rows scored once; the best by validation average precision."""
     numeric, categorical = prepare_features(df, roles, include_perf)
     key = (roles.unit,)
@@ -150,11 +150,14 @@ def run_modeling(df: DataFrame, roles: QualitySchema = DEFAULT, seed: int = SEED
     if cv:
         out["cross_validation"] = cross_validate(train, roles.label, key, numeric, categorical, names, seed=seed, trees=trees, rounds=rounds)
     for name in names:
-        (v, t), model, features, _ = scored(name, train, [val, test], roles.label, numeric, categorical, key, seed, trees, rounds)
+        (v, t), model, features, make = scored(name, train, [val, test], roles.label, numeric, categorical, key, seed, trees, rounds)
         v, t = v.persist(), t.persist()
         cut = evaluate.threshold(v, roles.label, "score")
         hit = F.col("score") >= cut["threshold"]
-        out["models"][name] = {"threshold": cut, "validation": evaluate.metrics(v, roles.label, "score", hit), "test": evaluate.metrics(t, roles.label, "score", hit), "importance": importance(model, features) if model is not None else []}
+        found = importance(model, features) if model is not None else []
+        if name == "mlp_classifier" and model is not None:
+            found = permutation_importance(lambda d, m=model, f=make: m.transform(f(d)).withColumn("score", vector_to_array("probability")[1]), val, roles.label, [*numeric, *categorical], key, seed, repeats)[:15]
+        out["models"][name] = {"threshold": cut, "validation": evaluate.metrics(v, roles.label, "score", hit), "test": evaluate.metrics(t, roles.label, "score", hit), "importance": found}
         v.unpersist()
         t.unpersist()
     out["best_model"] = max(names, key=lambda m: (out["models"][m]["validation"]["average_precision"] or 0.0, -list(names).index(m)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,11 +87,15 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 
 def dtype_issues(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """column, n_unparsable and the first example, of values that are no numbers; Java's own number suffixes are none either."""
+    """column, n_unparsable, the first example and the first three different ones, of values that are no numbers; Java's own number suffixes are none either."""
     flat = long(df, [c for c in columns if c in df.columns], kind="string")
     number = F.col("value").try_cast("double").isNotNull() & ~F.col("value").rlike("[dDfF]$")
     bad = flat.where(F.col("value").isNotNull() & ~F.coalesce(number, F.lit(False)))
-    return bad.groupBy("column").agg(F.count(F.lit(1)).alias("n_unparsable"), F.min("value").alias("example"))
+    counts = bad.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    first = counts.withColumn("i", place).where("i <= 3").groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("examples"))
+    total = counts.groupBy("column").agg(F.sum("n").alias("n_unparsable"), F.min("value").alias("example"))
+    return total.join(first, "column").select("column", "n_unparsable", "example", "examples")
 
 
 def baseline_keys(df: DataFrame, key: str, time: str, share: float = BASELINE_SHARE) -> DataFrame:
@@ -99,8 +103,29 @@ def baseline_keys(df: DataFrame, key: str, time: str, share: float = BASELINE_SH
     runs = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(time).alias("start"))
     n = runs.count()
     least = max(1, round(n * share))
-    edge = runs.orderBy(F.asc_nulls_last("start"), key).limit(least).agg(F.max(F.struct(F.coalesce(F.col("start").cast("string"), F.lit("~")).alias("s"), key)).alias("e"))
-    return runs.crossJoin(F.broadcast(edge)).select(key, "start", (F.struct(F.coalesce(F.col("start").cast("string"), F.lit("~")).alias("s"), key) <= F.col("e")).alias("is_baseline"))
+    place = F.struct(F.col("start").isNull().alias("n"), F.col("start").alias("s"), F.col(key).alias("k"))  # by the time's own type, those without last
+    edge = runs.orderBy(F.asc_nulls_last("start"), key).limit(least).agg(F.max(place).alias("e"))
+    return runs.crossJoin(F.broadcast(edge)).select(key, "start", (place <= F.col("e")).alias("is_baseline"))
+
+
+def baseline(df: DataFrame, roles: QualitySchema = DEFAULT, batch: str | None = None) -> tuple[DataFrame, dict]:
+    """df with is_baseline, and how it was chosen: the rows of the batch given, else the earliest runs, else, without times, the first batches by name.
+
+    All rows stay; those without a key are not of the baseline.
+    """
+    columns = {*df.columns}
+    if batch is not None and roles.batch in columns:
+        return df.withColumn("is_baseline", F.coalesce(F.col(roles.batch) == batch, F.lit(False))), {"method": "batch", "batch": batch}
+    if {roles.run, roles.time} <= columns:
+        key, time, method = roles.run, roles.time, "earliest runs"
+    elif roles.batch in columns:
+        key, time, method = roles.batch, roles.batch, "first batches by name"
+    else:
+        return df.withColumn("is_baseline", F.lit(False)), {"method": None, "note": "no run, time or batch column"}
+    keys = baseline_keys(df, key, time).select(F.col(key).alias("__key"), "is_baseline").cache()
+    n = keys.agg(F.count_if("is_baseline").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    marked = df.join(keys, df[key] == F.col("__key"), "left").drop("__key").withColumn("is_baseline", F.coalesce("is_baseline", F.lit(False)))
+    return marked, {"method": method, "key": key, "n_baseline": n["b"], "n_keys": n["n"]}
 
 
 def histogram(flat: DataFrame, side: str) -> DataFrame:
@@ -158,16 +183,15 @@ def drift_report(df: DataFrame, columns: Iterable[str], side: str, alpha: float
     return sorted(rows, key=lambda r: (not r["drifted"], -(r["psi"] if r["psi"] is not None else -1), r["column"]))
 
 
-def run_quality_checks(wide: DataFrame, roles: QualitySchema = DEFAULT, perf: DataFrame | None = None, key: str | None = None) -> dict:
+def run_quality_checks(wide: DataFrame, roles: QualitySchema = DEFAULT, perf: DataFrame | None = None, key: str | None = None, baseline_batch: str | None = None) -> dict:
     """All checks over one frame, each a small result on the driver."""
     table = lambda df: [r.asDict() for r in df.collect()]
-    base = baseline_keys(wide, roles.run, roles.time) if {roles.run, roles.time} <= {*wide.columns} else None
-    marked = wide.join(F.broadcast(base.select(roles.run, "is_baseline")), roles.run) if base is not None else wide.withColumn("is_baseline", F.lit(False))
+    marked, info = baseline(wide, roles, baseline_batch)
     return {
         "n_rows": wide.count(), "n_columns": len(wide.columns), "missing_by_column": table(missing_by_column(wide)), "missing_by_row": {r["n_missing"]: r["n_rows"] for r in missing_by_row(wide).collect()},
         "out_of_range": table(out_of_range(wide, roles.limits, key or roles.unit)), "duplicates": table(duplicates(wide, (roles.batch, roles.run, roles.unit))),
         "perf_fanout": fanout_summary(perf, roles.unit) if perf is not None else None, "constant_columns": table(constant_columns(wide)),
-        "drift": drift_report(marked, [c for c in roles.numeric + roles.measured if c in wide.columns], "is_baseline"),
+        "drift": drift_report(marked, [c for c in roles.numeric + roles.measured if c in wide.columns], "is_baseline"), "baseline_info": info,
         "class_balance": table(class_balance(wide, roles.label))[0] if roles.label in wide.columns else {"present": False},
         "dtype_issues": table(dtype_issues(wide, roles.numeric + roles.measured)),
     }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +58,7 @@ def run_pipeline(spark: SparkSession, out_dir: str, data_dir: str, seed: int = S
     tests = significance.screen_factors(clean, runs, batches, seed=seed, n_perm=n_perm, roles=roles).persist()
     ranking = significance.rank_factors(tests).persist()
     lap("significance")
-    modeling = models.run_modeling(clean, roles, seed, cv=not light, trees=trees, rounds=rounds)
+    modeling = models.run_modeling(clean, roles, seed, cv=not light, trees=trees, rounds=rounds, repeats=1 if light else 5)
     modeling["ablation"] = models.ablation(clean, modeling["best_model"], roles, seed, trees, rounds)
     lap("classification")
     clusters = cluster.run_clustering(clean, roles, seed, starts=starts)
@@ -68,24 +67,26 @@ def run_pipeline(spark: SparkSession, out_dir: str, data_dir: str, seed: int = S
     lap("regression")
     trends = run_timeseries(clean, roles, roles.measured[:2])
     lap("series")
+    points = clusters.pop("pca", None)
     metrics = {
         "seed": seed, "rows": {name: df.count() for name, df in raw.items()} | {"wide": checks["n_rows"], "clean": actions["rows_final"]}, "ground_truth": manifest.get("ground_truth_mechanism"),
         "quality_summary": quality.summarize_quality(checks), "quality": checks, "cleaning": actions, "ranking": [r.asDict() for r in ranking.orderBy("rank").collect()],
         "significant_factors": significance.significant_factors(ranking), "top_factor": significance.top_factor_detail(tests, ranking), "modeling": modeling, "clustering": clusters, "regression": regression, "series": trends,
     }
-    Path(out_dir).mkdir(parents=True, exist_ok=True)
-    tables.write_json(metrics, f"{out_dir}/metrics.json")
+    tables.write_json(metrics, f"{out_dir}/metrics.json", spark)
     frames = {"factor_ranking": ranking, "significance_tests": tests}
     if "profile" in clusters and clusters["profile"]:
         frames["cluster_profile"] = spark.createDataFrame(clusters["profile"])
+    if points is not None:
+        frames["cluster_points"] = points
     frames["model_comparison"] = spark.createDataFrame([(n, r["threshold"]["threshold"], r["test"]["average_precision"], r["test"]["roc_auc"], r["test"]["f1"]) for n, r in modeling["models"].items()], "model string, threshold double, average_precision double, roc_auc double, f1 double")
     if make_plots:
         frames |= {f"plot_{k}": v for k, v in plotdata.catalog(clean, runs, roles, ranking).items()}
     for name, df in frames.items():
         tables.write_csv(df.coalesce(1), f"{out_dir}/{name}.csv")
-    Path(f"{out_dir}/report.md").write_text(report.markdown(metrics), encoding="utf-8")
+    tables.write_text(report.markdown(metrics), f"{out_dir}/report.md", spark)
     lap("report")
-    report.write_run_meta(f"{out_dir}/run_meta.json", took, seed, generated=generated)
+    report.write_run_meta(f"{out_dir}/run_meta.json", took, seed, spark, generated=generated)
     for df in (wide, clean, tests, ranking):
         df.unpersist()
     return metrics

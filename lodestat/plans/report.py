@@ -26,11 +26,11 @@ def table(headers: list[str], rows: list[list]) -> str:
     return "\n".join([line(headers), line(["---"] * len(headers)), *map(line, rows)])
 
 
-def write_run_meta(path: str, elapsed: dict[str, float], seed: int, **extra) -> str:
+def write_run_meta(path: str, elapsed: dict[str, float], seed: int, spark=None, **extra) -> str:
     """What varies from run to run, kept apart from the metrics."""
     import pyspark
 
-    return write_json({"finished_utc": datetime.now(UTC).isoformat(), "python": sys.version.split()[0], "pyspark": pyspark.__version__, "platform": platform.platform(), "seed": seed, "elapsed_seconds": {k: round(v, 4) for k, v in elapsed.items()}} | extra, path)
+    return write_json({"finished_utc": datetime.now(UTC).isoformat(), "python": sys.version.split()[0], "pyspark": pyspark.__version__, "platform": platform.platform(), "seed": seed, "elapsed_seconds": {k: round(v, 4) for k, v in elapsed.items()}} | extra, path, spark)
 
 
 def markdown(m: dict) -> str:

@@ -37,6 +37,12 @@ def normal(seed: int, purpose: str, *keys: str) -> Column:
     return F.sqrt(-2 * F.log(uniform(seed, purpose + "/r", *keys))) * F.cos(2 * math.pi * uniform(seed, purpose + "/a", *keys))
 
 
+def padded(n: Column, width: int) -> Column:
+    """n with leading zeros; longer numbers keep all their digits, which lpad would cut."""
+    s = n.cast("string")
+    return F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s)
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
@@ -52,7 +58,7 @@ def chosen(u: Column, shares: dict[str, float | Column]) -> Column:
 
 
 def material_batches(spark: SparkSession, seed: int = SEED, batches: int = BATCHES) -> DataFrame:
-    ids = spark.range(1, batches + 1).select(F.concat(F.lit("B"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("batch_id"))
+    ids = spark.range(1, batches + 1).select(F.concat(F.lit("B"), padded(F.col("id"), 2)).alias("batch_id"))
     df = ids.withColumn("material_supplier", chosen(uniform(seed, "supplier", "batch_id"), {s: p for s, (p, _) in SUPPLIERS.items()}))
     moved = F.create_map(*[F.lit(x) for s, (_, m) in SUPPLIERS.items() for x in (s, m)])
     return df.select(
@@ -67,12 +73,12 @@ def production_runs(batches: DataFrame, seed: int = SEED, runs_per_batch: int =
     """The runs, and z: the logit of failure, which save() leaves out."""
     runs = batches.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(runs_per_batch - 1))))
     runs = runs.withColumn("i", (F.substring("batch_id", 2, 9).cast("int") - 1) * runs_per_batch + F.col("r"))
-    runs = runs.withColumn("run_id", F.concat(F.lit("R"), F.lpad((F.col("i") + 1).cast("string"), 3, "0")))
+    runs = runs.withColumn("run_id", F.concat(F.lit("R"), padded(F.col("i") + 1, 3)))
     minutes = F.floor(90 * uniform(seed, "start", "run_id"))
     runs = runs.withColumn("m", (F.col("i") * 240 + minutes).cast("int")).withColumn("start_time", F.expr("timestamp_ntz'2025-03-03 06:00:00' + make_dt_interval(0, 0, m)"))
     runs = runs.withColumn("shift", F.element_at(F.array(*map(F.lit, SHIFTS)), (F.floor(F.pmod(F.hour("start_time") - 6, F.lit(24)) / 8) + 1).cast("int")))
     runs = runs.withColumn("machine_id", chosen(uniform(seed, "machine", "run_id"), {m: p for m, (p, _) in MACHINES.items()}))
-    runs = runs.withColumn("operator_id", F.concat(F.lit("OP"), F.lpad((F.floor(12 * uniform(seed, "operator", "run_id")) + 1).cast("string"), 2, "0")))
+    runs = runs.withColumn("operator_id", F.concat(F.lit("OP"), padded(F.floor(12 * uniform(seed, "operator", "run_id")) + 1, 2)))
     runs = runs.withColumn("furnace_temp_c", F.bround(BEST_TEMP + TEMP_SD * normal(seed, "temp", "run_id"), 2))
     for c in ("pressure_mpa", "line_speed_mpm", "cooling_rate_cps", "ambient_humidity_pct"):
         _, mean, sd = LINEAR[c]
@@ -91,7 +97,7 @@ def inspection_results(runs: DataFrame, seed: int = SEED) -> DataFrame:
     """One row per unit; fails get a defect whose odds follow the run's conditions. Keeps z."""
     many = (LEAST_UNITS + F.floor((MOST_UNITS - LEAST_UNITS + 1) * uniform(seed, "units", "run_id"))).cast("int")
     units = runs.withColumn("u", F.explode(F.sequence(F.lit(1), many)))
-    units = units.withColumn("unit_id", F.concat(F.lit("U"), F.substring("run_id", 2, 9), F.lit("-"), F.lpad(F.col("u").cast("string"), 2, "0")))
+    units = units.withColumn("unit_id", F.concat(F.lit("U"), F.substring("run_id", 2, 9), F.lit("-"), padded(F.col("u"), 2)))
     units = units.withColumn("z", F.col("z") + UNIT_NOISE * normal(seed, "unit", "unit_id"))
     units = units.withColumn("is_fail", (uniform(seed, "fail", "unit_id") < sigmoid(F.col("z"))).cast("int"))
     std = {c: (F.col(c) - mean) / sd for c, (_, mean, sd) in LINEAR.items()}
@@ -178,6 +184,7 @@ def ensure_raw_data(spark: SparkSession, data_dir: str, seed: int = SEED, regene
     if regenerate or not there:
         made, manifest = generate_all(spark, seed)
         tables.save_raw_tables(made, data_dir)
-        if "://" not in data_dir:
-            tables.write_json(manifest, f"{data_dir}/synthetic_manifest.json")
+        tables.write_json(manifest, f"{data_dir}/synthetic_manifest.json", spark)
+    else:
+        manifest = tables.read_json(spark, f"{data_dir}/synthetic_manifest.json") or {}
     return tables.load_raw_tables(spark, data_dir), manifest, regenerate or not there

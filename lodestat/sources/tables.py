@@ -49,13 +49,33 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_json(payload: dict, path: str) -> str:
-    """UTF-8, two spaces, keys as they come, newline at the end."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(payload, ensure_ascii=False, indent=2, default=str) + "\n", encoding="utf-8")
+def write_text(text: str, path: str, spark: SparkSession | None = None) -> str:
+    """One small file, in UTF-8, on whatever store the path names; without a session, on this machine's."""
+    if spark is None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text, encoding="utf-8")
+        return path
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
     return path
 
 
+def write_json(payload: dict, path: str, spark: SparkSession | None = None) -> str:
+    """UTF-8, two spaces, keys as they come, newline at the end."""
+    return write_text(json.dumps(payload, ensure_ascii=False, indent=2, default=str) + "\n", path, spark)
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """What write_json wrote; None if there is no such file."""
+    if not exists(spark, path):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 def fingerprint(df: DataFrame) -> str:
     """64 hex digits that change with any cell and with the number of equal rows, but not with the rows' order."""
     parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in df.columns]

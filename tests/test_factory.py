@@ -94,3 +94,29 @@ def test_series_of_the_factory(wide):
     assert got["batch_fail_rate"]["n"] == 36 and got["run_fail_rate"]["n"] == 144 and len(got["batch_fail_rate"]["backtest"]) == 4
     assert pipeline.run_timeseries(clean.drop("batch_id"))["note"].startswith("cannot analyze")
     assert pipeline.run_timeseries(clean.where("batch_id = 'B01'"))["note"] == "series too short"
+
+
+def test_more_batches_than_two_digits(spark):
+    batches = synth.material_batches(spark, batches=120)
+    runs = synth.production_runs(batches, runs_per_batch=10)
+    assert batches.select("batch_id").distinct().count() == 120 and runs.select("run_id").distinct().count() == 1200
+    assert {"B01", "B99", "B100"} <= {r["batch_id"] for r in batches.collect()}
+
+
+def test_the_manifest_is_read_again(spark, tmp_path):
+    _, first, made = synth.ensure_raw_data(spark, f"file://{tmp_path}/d")
+    raw, second, again = synth.ensure_raw_data(spark, f"file://{tmp_path}/d")
+    assert made and not again and first == second and second["ground_truth_mechanism"]["primary"]
+
+
+def test_arguments_without_a_command(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(cli, "session", lambda: None)
+    monkeypatch.setattr(cli.pipeline, "run_pipeline", lambda spark, out, *rest, **more: seen.update(out=out))
+    monkeypatch.setattr("sys.argv", ["lodestat", "--out", "there", "--n-perm", "9"])
+    assert cli.main() == 0 and seen == {"out": "there"}
+    assert cli.main(["--out", "here"]) == 0 and seen == {"out": "here"}
+
+
+def test_info_tells_the_settings():
+    assert "seed: 20240617" in cli.info() and "furnace_temp_c: 1420.0 to 1580.0" in cli.info()

@@ -108,3 +108,25 @@ def test_clean(spark):
     got = rows(out, "i")
     assert set(got) == {1, 2} and got[2]["x"] == 6.0 and got[2]["c"] == "UNKNOWN" and got[2]["t"] == 2.0 and got[2]["t_was_missing"] and not got[1]["t_was_missing"]
     assert did["exact_duplicate_rows_dropped"] == 1 and did["out_of_range_to_nan"] == {"x": 1} and did["rows_dropped_missing_label"] == 1 and did["rows_final"] == 2
+
+
+def test_baseline_by_the_times_own_type(spark):
+    df = spark.createDataFrame([(f"R{i}", i) for i in range(1, 13)], "run_id string, start_time int")
+    got = {r["run_id"] for r in quality.baseline_keys(df, "run_id", "start_time").where("is_baseline").collect()}
+    assert got == {"R1", "R2", "R3"}
+
+
+def test_baseline_without_times_and_by_batch(spark):
+    df = spark.createDataFrame([("R1", "B02", 1.0), ("R2", "B01", 2.0), (None, None, 3.0)], "run_id string, batch_id string, x double")
+    marked, info = quality.baseline(df)
+    assert {r["run_id"]: r["is_baseline"] for r in marked.collect()} == {"R1": False, "R2": True, None: False} and info["method"] == "first batches by name"
+    marked, info = quality.baseline(df, batch="B02")
+    assert {r["run_id"]: r["is_baseline"] for r in marked.collect()} == {"R1": True, "R2": False, None: False} and info == {"method": "batch", "batch": "B02"}
+    timed = df.withColumn("start_time", df["x"])
+    assert quality.baseline(timed)[0].count() == 3, "rows without a run stay"
+
+
+def test_three_examples(spark):
+    df = spark.createDataFrame([(v,) for v in ("1", "b x", "a?", "d", "c-", "a?", None)], "x string")
+    r = quality.dtype_issues(df, ["x"]).first()
+    assert r["n_unparsable"] == 5 and r["example"] == "a?" and r["examples"] == ["a?", "b x", "c-"]

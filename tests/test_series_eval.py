@@ -56,13 +56,19 @@ def frame(spark, y, p):
 
 
 def test_metrics(spark):
-    y, pred, p = [0, 0, 1, 1, 0, 1, 0, 0], [0, 0, 1, 0, 0, 1, 1, 0], [0.1, 0.2, 0.9, 0.4, 0.3, 0.8, 0.7, 0.05]
-    df = frame(spark, y, p).withColumn("q", F.array(*map(F.lit, pred))[F.col("i")])
-    m = evaluate.metrics(df, "y", "p", F.col("q") == 1)
-    assert m["confusion_matrix"] == [[4, 1], [1, 2]] and m["f1"] == pytest.approx(2 / 3) and m["accuracy"] == 0.75
-    assert m["average_precision"] == pytest.approx((1 + 1 + 0.75) / 3)
-    pairs = [(a, b) for a, u in zip(p, y, strict=True) for b, v in zip(p, y, strict=True) if u == 1 and v == 0]
-    assert m["roc_auc"] == pytest.approx(sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs))
+    """Ten parcels, five of them damaged, of which a scale flags four and one whole one besides."""
+    damaged = {2, 3, 5, 8, 9}
+    weight = [0.15, 0.55, 0.95, 0.65, 0.35, 0.85, 0.25, 0.45, 0.75, 0.50]
+    y = [int(i in damaged) for i in range(10)]
+    df = frame(spark, y, weight)
+    m = evaluate.metrics(df, "y", "p", F.col("p") > 0.52)
+    # above 0.52: 2, 5, 8, 3 (damaged) and 1 (whole); 9 is missed
+    assert m["confusion_matrix"] == [[4, 1], [1, 4]] and m["precision"] == m["recall"] == pytest.approx(0.8) and m["accuracy"] == 0.8
+    # by falling weight: four damaged, one whole, the fifth damaged at place 6
+    assert m["average_precision"] == pytest.approx((4 + 5 / 6) / 5)
+    # of 25 pairs only (9, 1) is the wrong way round
+    assert m["roc_auc"] == pytest.approx(24 / 25)
+    assert m["brier"] == pytest.approx(sum((a - b) ** 2 for a, b in zip(weight, y, strict=True)) / 10)
     one = evaluate.metrics(frame(spark, [1, 1], [0.5, 0.6]), "y", "p", F.col("p") > 0.55)
     assert one["single_class"] and one["roc_auc"] is None and one["balanced_accuracy"] is None
     none = evaluate.metrics(df.where("false"), "y", "p", F.col("p") > 1)
