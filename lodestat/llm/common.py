@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         given = found.get() if found.isDefined() else None
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         given = f"file://{tempfile.mkdtemp(prefix='lodestat-')}"
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
