@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import prefix
 from ..schema import DEFAULT, QualitySchema
 
 
@@ -61,28 +62,37 @@ def clean(wide: DataFrame, roles: QualitySchema = DEFAULT, limits: dict[str, tup
     """The recipe, in order: exact duplicates go; values out of limits become null; measured columns get *_was_missing;
     nulls of numerics get the median of what is left; null categories become UNKNOWN; rows without a label go.
 
-    Medians and counts come from one aggregate over the deduplicated table.
+    All counts and medians come from one pass: deduplicated rows with how often each came, counted by (what, value).
+    Medians are read off running sums of those counts, so no task holds a column's values.
     """
     limits = roles.limits if limits is None else limits
-    rows = wide.dropDuplicates()
-    bounded = {c: b for c, b in limits.items() if c in rows.columns}
+    bounded = {c: b for c, b in limits.items() if c in wide.columns}
     outside = {c: (F.col(c) < lo) | (F.col(c) > hi) for c, (lo, hi) in bounded.items()}
-    nulled = rows.withColumns({c: F.when(~o, F.col(c)) for c, o in outside.items()})
-    numeric = [c for c in roles.numeric + roles.measured if c in rows.columns]
-    categorical = [c for c in roles.categorical if c in rows.columns]
-    flags = {f"{c}_was_missing": F.col(c).isNull() for c in roles.measured if c in rows.columns}
-    got = rows.agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(o).alias(f"o:{c}") for c, o in outside.items()],
-        F.count_if(F.col(roles.label).isNull()).alias("unlabelled"), *[F.count_if(F.col(c).isNull()).alias(f"c:{c}") for c in categorical],
-    ).first()
-    medians = nulled.agg(*[F.median(c).alias(c) for c in numeric], *[F.count_if(F.col(c).isNull()).alias(f"n:{c}") for c in numeric]).first() if numeric else {}
-    filled = {c: medians[c] for c in numeric if medians[f"n:{c}"] and medians[c] is not None}
-    unknown = [c for c in categorical if got[f"c:{c}"]]
+    within = {c: F.when(~o, F.col(c)) for c, o in outside.items()}
+    numeric = [c for c in roles.numeric + roles.measured if c in wide.columns]
+    categorical = [c for c in roles.categorical if c in wide.columns]
+    nulled = wide.dropDuplicates().withColumns(within)
+    flags = {f"{c}_was_missing": F.col(c).isNull() for c in roles.measured if c in wide.columns}
+    facts = {("rows", ""): F.col("__times"), ("unlabelled", ""): F.col(roles.label).isNull()}
+    facts |= {("outside", c): F.coalesce(o, F.lit(False)) for c, o in outside.items()} | {("no category", c): F.col(c).isNull() for c in categorical}
+    facts |= {("value", c): within.get(c, F.col(c)) for c in numeric}
+    told = F.explode(F.array(*[F.struct(F.lit(w).alias("what"), F.lit(c).alias("column"), v.cast("double").alias("value")) for (w, c), v in facts.items()]))
+    hist = wide.groupBy(*wide.columns).agg(F.count(F.lit(1)).alias("__times")).select(told.alias("f")).groupBy("f.what", "f.column", "f.value").agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        sums = {(r["what"], r["column"]): r for r in hist.groupBy("what", "column").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("what") != "value", F.col("value") * F.col("n"))), F.lit(0.0)).cast("long").alias("total"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls")).where("what <> 'value' or nulls > 0").collect()}
+        lacking = [c for c in numeric if ("value", c) in sums]
+        counted = hist.where((F.col("what") == "value") & F.col("column").isin(lacking) & F.col("value").isNotNull())
+        medians = {r["column"]: r["q"][0] for r in prefix.quantiles(prefix.running(counted, ["column"], "value", ["n"]), ["column"], "value", "n", [0.5]).collect()} if lacking else {}
+    finally:
+        hist.unpersist()
+    total = lambda what, c="": sums[what, c]["total"] if (what, c) in sums else 0
+    n, before = (sums["rows", ""]["n"], total("rows")) if sums else (0, 0)
+    filled = {c: medians[c] for c in numeric if medians.get(c) is not None}
+    unknown = [c for c in categorical if total("no category", c)]
     out = nulled.withColumns(flags).withColumns({c: F.coalesce(F.col(c), F.lit(float(v))) for c, v in filled.items()})
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit("UNKNOWN")) for c in unknown}).where(F.col(roles.label).isNotNull())
-    before = wide.count()
     return out, {
-        "exact_duplicate_rows_dropped": before - got["n"], "rows_before": before, "rows_after_dedup": got["n"],
-        "out_of_range_to_nan": {c: got[f"o:{c}"] for c in outside if got[f"o:{c}"]}, "numeric_median_imputed": filled, "categorical_filled_unknown": unknown,
-        "missing_indicator_columns": sorted(flags), "rows_dropped_missing_label": got["unlabelled"], "rows_final": got["n"] - got["unlabelled"],
+        "exact_duplicate_rows_dropped": before - n, "rows_before": before, "rows_after_dedup": n,
+        "out_of_range_to_nan": {c: total("outside", c) for c in outside if total("outside", c)}, "numeric_median_imputed": filled, "categorical_filled_unknown": unknown,
+        "missing_indicator_columns": sorted(flags), "rows_dropped_missing_label": total("unlabelled"), "rows_final": n - total("unlabelled"),
     }

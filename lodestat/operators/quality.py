@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import contextlib
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,30 +130,52 @@ def baseline(df: DataFrame, roles: QualitySchema = DEFAULT, batch: str | None =
 
 
 def histogram(flat: DataFrame, side: str) -> DataFrame:
-    """(column, value) with the rows on either side of the boolean side; finite values only."""
-    ok = flat.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
-    return ok.groupBy("column", "value").agg(F.count_if(F.col(side)).alias("n1"), F.count_if(~F.col(side)).alias("n2"))
+    """(column, value) with the rows on either side of the boolean side; no nulls and no NaN."""
+    return flat.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("column", "value").agg(F.count_if(F.col(side)).alias("n1"), F.count_if(~F.col(side)).alias("n2"))
+
+
+@contextlib.contextmanager
+def counted(flat: DataFrame, side: str) -> Iterator[DataFrame]:
+    """The histogram with its running counts, kept while measures are taken from it, so that the rows are read and shuffled once."""
+    hist = histogram(flat, side).persist()
+    run = prefix.running(hist, ["column"], "value", ["n1", "n2"]).persist()
+    try:
+        yield run
+    finally:
+        run.unpersist()
+        hist.unpersist()
+
+
+def _taken(df: DataFrame) -> DataFrame:
+    """df, a row per column, worked out now."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def ks_statistic(flat: DataFrame, side: str) -> DataFrame:
-    """column, n1, n2, ks: the largest gap of the two distribution functions, over distinct values."""
-    hist = histogram(flat, side)
-    totals = hist.groupBy("column").agg(F.sum("n1").alias("t1"), F.sum("n2").alias("t2"))
-    run = prefix.running(hist, ["column"], "value", ["n1", "n2"]).join(F.broadcast(totals), "column")
-    gap = F.abs((F.col("n1__before") + F.col("n1")) / F.nullif(F.col("t1"), F.lit(0)) - (F.col("n2__before") + F.col("n2")) / F.nullif(F.col("t2"), F.lit(0)))
-    return run.groupBy("column").agg(F.max("t1").alias("n1"), F.max("t2").alias("n2"), F.max(gap).alias("ks"))
+    """column, n1, n2, ks: the largest gap of the two distribution functions, over distinct finite values."""
+    with counted(flat, side) as run:
+        return _taken(_ks(run))
+
+
+def _ks(run: DataFrame) -> DataFrame:
+    below, finite = F.col("value") == float("-inf"), F.abs("value") != float("inf")
+    totals = run.groupBy("column").agg(*[F.sum(F.when(f, F.col(n))).alias(t) for n, t, f in (("n1", "t1", finite), ("n2", "t2", finite))], *[F.coalesce(F.sum(F.when(below, F.col(n))), F.lit(0)).alias(m) for n, m in (("n1", "m1"), ("n2", "m2"))])
+    share = lambda i: (F.col(f"n{i}__before") + F.col(f"n{i}") - F.col(f"m{i}")) / F.nullif(F.col(f"t{i}"), F.lit(0))
+    return run.where(finite).join(F.broadcast(totals), "column").groupBy("column").agg(F.max("t1").alias("n1"), F.max("t2").alias("n2"), F.max(F.abs(share(1) - share(2))).alias("ks"))
 
 
 def psi(flat: DataFrame, side: str, bins: int = DRIFT_BINS) -> DataFrame:
     """column, psi: shift of the current rows against the baseline's quantile bins; null under 3 edges, 2 baseline or 1 current values."""
-    ok = flat.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = ok.groupBy("column").agg(F.percentile(F.when(F.col(side), F.col("value")), at).alias("q"), F.count_if(F.col(side)).alias("t1"), F.count_if(~F.col(side)).alias("t2"))
-    edges = edges.withColumn("q", F.array_distinct("q")).withColumn("inner", F.expr("slice(q, 2, greatest(size(q) - 2, 0))"))
-    binned = ok.join(F.broadcast(edges.select("column", "inner")), "column").select("column", F.col(side).alias("s"), F.expr("size(filter(inner, e -> e <= value))").alias("bin"))
-    counts = binned.groupBy("column", "bin").agg(F.count_if("s").alias("c1"), F.count_if(~F.col("s")).alias("c2"))
-    every = edges.select("column", "t1", "t2", F.size("q").alias("m"), F.explode(F.expr("sequence(0, greatest(size(inner), 0))")).alias("bin"))
-    full = every.join(counts, ["column", "bin"], "left")
+    with counted(flat, side) as run:
+        return _taken(_psi(run, bins))
+
+
+def _psi(run: DataFrame, bins: int) -> DataFrame:
+    edges = prefix.quantiles(run, ["column"], "value", "n1", [i / bins for i in range(bins + 1)]).withColumnRenamed("total", "t1")
+    edges = edges.withColumn("q", F.array_distinct(F.coalesce("q", F.array().cast("array<double>")))).withColumn("inner", F.expr("slice(q, 2, greatest(size(q) - 2, 0))"))
+    counts = prefix.ranged(run, edges, ["column"], "value", "inner", "bin", closed="left").groupBy("column", "bin").agg(F.sum("n1").alias("c1"), F.sum("n2").alias("c2"))
+    every = edges.select("column", "t1", F.size("q").alias("m"), F.explode(F.expr("sequence(0, greatest(size(inner), 0))")).alias("bin"))
+    full = every.join(counts, ["column", "bin"], "left").withColumn("t2", F.sum("c2").over(Window.partitionBy("column")))
     share = lambda c, t: F.greatest(F.lit(1e-6), F.coalesce(F.col(c), F.lit(0)) / F.nullif(F.col(t), F.lit(0)))
     b, c = share("c1", "t1"), share("c2", "t2")
     good = (F.col("t1") >= 2) & (F.col("t2") >= 1) & (F.col("m") >= 3)
@@ -166,10 +189,12 @@ def severity(psi_: Column, ks: Column) -> Column:
 def drift(df: DataFrame, columns: Iterable[str], side: str) -> DataFrame:
     """column, n1, n2, means, mean_shift_pct, ks, psi, severity. side marks the baseline rows."""
     flat = long(df, [c for c in columns if c in df.columns], side)
-    means = flat.where("value is not null").groupBy("column").agg(F.avg(F.when(F.col(side), F.col("value"))).alias("baseline_mean"), F.avg(F.when(~F.col(side), F.col("value"))).alias("current_mean"))
-    out = ks_statistic(flat, side).where("n1 >= 2 and n2 >= 2").join(psi(flat, side), "column").join(means, "column")
-    shift = F.try_divide(F.col("current_mean") - F.col("baseline_mean"), F.abs("baseline_mean")) * 100
-    return out.select("column", "n1", "n2", "baseline_mean", "current_mean", shift.alias("mean_shift_pct"), "ks", "psi", severity(F.col("psi"), F.col("ks")).alias("severity"))
+    mean = lambda n: F.try_divide(F.sum(F.when(F.col(n) > 0, F.col("value") * F.col(n))), F.sum(n))
+    with counted(flat, side) as run:
+        means = run.groupBy("column").agg(mean("n1").alias("baseline_mean"), mean("n2").alias("current_mean"))
+        out = _ks(run).where("n1 >= 2 and n2 >= 2").join(_psi(run, DRIFT_BINS), "column").join(means, "column")
+        shift = F.try_divide(F.col("current_mean") - F.col("baseline_mean"), F.abs("baseline_mean")) * 100
+        return _taken(out.select("column", "n1", "n2", "baseline_mean", "current_mean", shift.alias("mean_shift_pct"), "ks", "psi", severity(F.col("psi"), F.col("ks")).alias("severity")))
 
 
 def drift_report(df: DataFrame, columns: Iterable[str], side: str, alpha: float = DRIFT_KS_ALPHA) -> list[dict]:

@@ -66,9 +66,30 @@ def sen_slope(df: DataFrame) -> DataFrame:
     return pairs(df).groupBy("series").agg(F.median((F.col("yj") - F.col("yi")) / (F.col("j") - F.col("i"))).alias("sen_slope"))
 
 
+def rises(df: DataFrame) -> DataFrame:
+    """series, s: pairs of points that rise with time less those that fall, in n log n.
+
+    Two positions first differ in one binary place; at that level they are in
+    one block, the earlier in its left half. So at each level every point of a
+    right half is held against the left half of its block, by running counts
+    over the block's values.
+    """
+    sized = df.join(df.groupBy("series").agg(F.max("pos").alias("__last")), "series").where("__last > 0")
+    at = sized.select("series", "value", "pos", F.explode(F.expr("sequence(0, cast(floor(log2(__last)) AS int))")).alias("level"))
+    halves = at.select("series", "value", "level", F.expr("shiftright(pos, level + 1)").alias("block"), F.expr("1 - (shiftright(pos, level) & 1)").alias("left"))
+    block = Window.partitionBy("series", "level", "block")
+    upto = F.sum("left").over(block.orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    alike = F.sum("left").over(Window.partitionBy("series", "level", "block", "value"))
+    held = halves.select("series", "left", (2 * upto - alike - F.sum("left").over(block)).alias("d"))
+    return held.where("left = 0").groupBy("series").agg(F.sum("d").cast("long").alias("s"))
+
+
 def mann_kendall(df: DataFrame) -> DataFrame:
-    """series, n, s, var_s (tie corrected), z (continuity corrected), sen_slope; z null under 3 points or without variance."""
-    s = pairs(df).groupBy("series").agg(F.sum(F.signum(F.col("yj") - F.col("yi"))).cast("long").alias("s"), F.median((F.col("yj") - F.col("yi")) / (F.col("j") - F.col("i"))).alias("sen_slope"))
+    """series, n, s, var_s (tie corrected), z (continuity corrected), sen_slope; z null under 3 points or without variance.
+
+    The test is in n log n; the slope is the median over all pairs, for series of a point per batch or run.
+    """
+    s = rises(df).join(sen_slope(df), "series", "left")
     ties = df.groupBy("series", "value").agg(F.count(F.lit(1)).alias("t")).groupBy("series").agg(F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("q"))
     out = ties.join(s, "series", "left").withColumn("s", F.coalesce("s", F.lit(0)))
     out = out.withColumn("var_s", (F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) - F.col("q")) / 18.0)

@@ -130,3 +130,39 @@ def test_three_examples(spark):
     df = spark.createDataFrame([(v,) for v in ("1", "b x", "a?", "d", "c-", "a?", None)], "x string")
     r = quality.dtype_issues(df, ["x"]).first()
     assert r["n_unparsable"] == 5 and r["example"] == "a?" and r["examples"] == ["a?", "b x", "c-"]
+
+
+def test_measures_from_counts_equal_numpy(spark):
+    import numpy as np
+
+    from lodestat.functions import prefix
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(0, 1, 400).round(1), rng.normal(0.7, 1, 300).round(1)
+    rows = [("x", float(v), True) for v in a] + [("x", float(v), False) for v in b] + [("x", float("-inf"), True), ("x", None, True), ("x", float("nan"), False)]
+    flat = spark.createDataFrame(rows, "column string, value double, side boolean")
+    got = quality.ks_statistic(flat, "side").first()
+    grid = np.unique(np.concatenate([a, b]))
+    want = max(abs((a <= v).mean() - (b <= v).mean()) for v in grid)
+    assert (got["n1"], got["n2"]) == (400, 300) and got["ks"] == pytest.approx(want)
+
+    counts = spark.createDataFrame([(k, float(v)) for k, vs in (("a", a), ("b", b)) for v in vs], "k string, v double").groupBy("k", "v").count()
+    at = [0, 0.1, 0.25, 0.5, 0.9, 1]
+    q = {r["k"]: r for r in prefix.quantiles(prefix.running(counts, ["k"], "v", ["count"], cuts=7), ["k"], "v", "count", at).collect()}
+    for k, vs in (("a", a), ("b", b)):
+        assert q[k]["total"] == len(vs) and q[k]["q"] == pytest.approx(list(np.quantile(vs, at)))
+
+
+def test_cleaning_by_hand(spark):
+    from lodestat.operators import integrate
+    from lodestat.schema import QualitySchema
+
+    roles = QualitySchema(label="y", unit="u", run="r", batch="b", run_numeric=("a",), batch_numeric=(), run_categorical=("c",), batch_categorical=(), measured=("m",), limits={"a": (0.0, 10.0)})
+    rows = [(1, 1, 2.0, "k", 5.0), (1, 1, 2.0, "k", 5.0), (2, 0, 99.0, None, None), (3, None, 4.0, "k", 7.0), (4, 1, 5.0, "k", float("nan")), (5, 0, None, "k", 6.0)]
+    out, said = integrate.clean(spark.createDataFrame(rows, "u int, y int, a double, c string, m double"), roles)
+    assert (said["rows_before"], said["exact_duplicate_rows_dropped"], said["rows_dropped_missing_label"], said["rows_final"]) == (6, 1, 1, 4)
+    assert said["out_of_range_to_nan"] == {"a": 1} and said["categorical_filled_unknown"] == ["c"] and said["numeric_median_imputed"]["a"] == 4.0
+    got = {r["u"]: r for r in out.collect()}
+    assert sorted(got) == [1, 2, 4, 5] and got[2]["a"] == 4.0 and got[5]["a"] == 4.0 and got[2]["c"] == "UNKNOWN" and got[2]["m_was_missing"]
+    empty, none = integrate.clean(spark.createDataFrame([], "u int, y int, a double, c string, m double"), roles)
+    assert empty.count() == 0 and none["rows_before"] == 0 and none["numeric_median_imputed"] == {}

@@ -123,3 +123,15 @@ def test_silhouette_is_exact_beyond_a_block(spark, monkeypatch):
     blocks = cluster.silhouette(df, ["x", "y"], "label", "id").first()
     assert whole["n"] == blocks["n"] == 120 and abs(whole["silhouette"] - blocks["silhouette"]) < 1e-12
     assert abs(whole["silhouette"] - cluster.simplified_silhouette(df, ["x", "y"], "label").first()["silhouette"]) > 1e-6
+
+
+def test_rises_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    many = {f"s{n}": [float(rng.randrange(6)) for _ in range(n)] for n in (1, 2, 3, 7, 8, 9, 33, 100)}
+    df = spark.createDataFrame([(s, i, y) for s, ys in many.items() for i, y in enumerate(ys)], "series string, pos long, value double")
+    got = {r["series"]: r["s"] for r in series.rises(df).collect()}
+    sign = lambda x: (x > 0) - (x < 0)
+    for s, ys in many.items():
+        assert got.get(s, 0) == sum(sign(ys[j] - ys[i]) for j in range(len(ys)) for i in range(j))
