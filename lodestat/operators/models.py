@@ -140,8 +140,11 @@ def cross_validate(df: DataFrame, label: str, key: Sequence[str], numeric: Seque
     return out
 
 
-def run_modeling(df: DataFrame, roles: QualitySchema = DEFAULT, seed: int = SEED, names: Sequence[str] = MODELS, include_perf: bool = False, cv: bool = True, trees: int = 300, rounds: int = 200, repeats: int = 5) -> dict:
-    """Each model: threshold from validation rows, test rows scored once; the best by validation average precision."""
+def run_modeling(df: DataFrame, roles: QualitySchema = DEFAULT, seed: int = SEED, names: Sequence[str] = MODELS, include_perf: bool = False, cv: bool = True, trees: int = 300, rounds: int = 200, repeats: int = 5, frames: dict[str, DataFrame] | None = None) -> dict:
+    """Each model: threshold from validation rows, test rows scored once; the best by validation average precision.
+
+    frames, if given, gets each model's test rows as (unit, label, score).
+    """
     numeric, categorical = prepare_features(df, roles, include_perf)
     key = (roles.unit,)
     parts = evaluate.split(df.where(F.col(roles.label).isin(0, 1)), roles.label, key, seed).persist()
@@ -158,6 +161,8 @@ def run_modeling(df: DataFrame, roles: QualitySchema = DEFAULT, seed: int = SEED
         if name == "mlp_classifier" and model is not None:
             found = permutation_importance(lambda d, m=model, f=make: m.transform(f(d)).withColumn("score", vector_to_array("probability")[1]), val, roles.label, [*numeric, *categorical], key, seed, repeats)[:15]
         out["models"][name] = {"threshold": cut, "validation": evaluate.metrics(v, roles.label, "score", hit), "test": evaluate.metrics(t, roles.label, "score", hit), "importance": found}
+        if frames is not None:
+            frames[name] = t.select(*key, roles.label, "score")
         v.unpersist()
         t.unpersist()
     out["best_model"] = max(names, key=lambda m: (out["models"][m]["validation"]["average_precision"] or 0.0, -list(names).index(m)))
@@ -171,8 +176,11 @@ def ablation(df: DataFrame, name: str, roles: QualitySchema = DEFAULT, seed: int
     return {"model": name, "features": got["features"], "test": got["models"][name]["test"]}
 
 
-def fit_target(df: DataFrame, target: str, roles: QualitySchema = DEFAULT, seed: int = SEED, test: float = 0.2, include_imputed: bool = False, rounds: int = 200) -> dict:
-    """Mean baseline, linear and boosted regression of one measured column; filled-in targets stay out unless asked for."""
+def fit_target(df: DataFrame, target: str, roles: QualitySchema = DEFAULT, seed: int = SEED, test: float = 0.2, include_imputed: bool = False, rounds: int = 200, frames: dict[str, DataFrame] | None = None) -> dict:
+    """Mean baseline, linear and boosted regression of one measured column; filled-in targets stay out unless asked for.
+
+    frames, if given, gets each model's test rows as (target, prediction).
+    """
     rows = df.where(finite(target).isNotNull())
     flag = f"{target}_was_missing"
     if flag in df.columns and not include_imputed:
@@ -189,7 +197,10 @@ def fit_target(df: DataFrame, target: str, roles: QualitySchema = DEFAULT, seed:
     judge = lambda d: evaluate.regression_metrics(d, target, "prediction").first().asDict()
     out = {"baseline": judge(ready.withColumn("prediction", F.lit(mean)))}
     for name, model in (("linear_regression", LinearRegression(featuresCol="x", labelCol=target, regParam=0.0)), ("gradient_boosting", GBTRegressor(featuresCol="x", labelCol=target, maxIter=rounds, stepSize=0.08, seed=seed))):
-        out[name] = judge(model.fit(data).transform(ready))
+        predicted = model.fit(data).transform(ready)
+        out[name] = judge(predicted)
+        if frames is not None:
+            frames[f"{target}_{name}"] = predicted.select(target, "prediction")
         out[name]["mae_reduction_vs_baseline_pct"] = 100 * (1 - out[name]["mae"] / out["baseline"]["mae"]) if out["baseline"]["mae"] else None
     for d in (parts, data, ready):
         d.unpersist()

@@ -58,12 +58,12 @@ def run_pipeline(spark: SparkSession, out_dir: str, data_dir: str, seed: int = S
     tests = significance.screen_factors(clean, runs, batches, seed=seed, n_perm=n_perm, roles=roles).persist()
     ranking = significance.rank_factors(tests).persist()
     lap("significance")
-    modeling = models.run_modeling(clean, roles, seed, cv=not light, trees=trees, rounds=rounds, repeats=1 if light else 5)
+    modeling = models.run_modeling(clean, roles, seed, cv=not light, trees=trees, rounds=rounds, repeats=1 if light else 5, frames=(test_rows := {}))
     modeling["ablation"] = models.ablation(clean, modeling["best_model"], roles, seed, trees, rounds)
     lap("classification")
     clusters = cluster.run_clustering(clean, roles, seed, starts=starts)
     lap("clustering")
-    regression = models.run_regression(clean, roles, seed, rounds=rounds)
+    regression = models.run_regression(clean, roles, seed, rounds=rounds, frames=(predicted := {}))
     lap("regression")
     trends = run_timeseries(clean, roles, roles.measured[:2])
     lap("series")
@@ -81,7 +81,14 @@ def run_pipeline(spark: SparkSession, out_dir: str, data_dir: str, seed: int = S
         frames["cluster_points"] = points
     frames["model_comparison"] = spark.createDataFrame([(n, r["threshold"]["threshold"], r["test"]["average_precision"], r["test"]["roc_auc"], r["test"]["f1"]) for n, r in modeling["models"].items()], "model string, threshold double, average_precision double, roc_auc double, f1 double")
     if make_plots:
-        frames |= {f"plot_{k}": v for k, v in plotdata.catalog(clean, runs, roles, ranking).items()}
+        drawn = plotdata.catalog(clean, runs, roles, ranking) | plotdata.model_catalog(modeling, test_rows, roles)
+        if roles.measured:
+            drawn |= plotdata.regression_catalog(predicted, roles.measured[0])
+        if roles.batch in clean.columns:
+            drawn["series_trend"] = plotdata.series_trend(series.series_of(clean, roles.batch, roles.label, roles.time if roles.time in clean.columns else None, "batch_fail_rate"))
+        if clusters.get("k_selection"):
+            drawn["cluster_selection"] = spark.createDataFrame(clusters["k_selection"])
+        frames |= {f"plot_{k}": v for k, v in drawn.items()}
     for name, df in frames.items():
         tables.write_csv(df.coalesce(1), f"{out_dir}/{name}.csv")
     tables.write_text(report.markdown(metrics), f"{out_dir}/report.md", spark)

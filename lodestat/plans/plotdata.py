@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import prefix, stats
 from ..operators import cluster, evaluate, quality, series
 
 
@@ -36,9 +37,10 @@ def box_stats(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Per column and class: n, minimum, quartiles and maximum of the column's z-scores."""
     flat = quality.long(df, columns, label).where(F.col("value").isNotNull() & F.col(label).isNotNull())
     all_ = flat.groupBy("column").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    z = flat.join(F.broadcast(all_), "column").where("s > 0").withColumn("z", (F.col("value") - F.col("m")) / F.col("s"))
-    q = F.percentile("z", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return z.groupBy("column", label).agg(F.count(F.lit(1)).alias("n"), q.alias("q")).select("column", label, "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("z_min", "z_q1", "z_median", "z_q3", "z_max"))])
+    hist = flat.groupBy("column", label, "value").agg(F.count(F.lit(1)).alias("n"))
+    got = prefix.quantiles(prefix.running(hist, ["column", label], "value", ["n"]), ["column", label], "value", "n", (0.0, 0.25, 0.5, 0.75, 1.0))
+    z = got.join(F.broadcast(all_), "column").where("s > 0")
+    return z.select("column", label, F.col("total").alias("n"), *[((F.col("q")[i] - F.col("m")) / F.col("s")).alias(c) for i, c in enumerate(("z_min", "z_q1", "z_median", "z_q3", "z_max"))])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -82,3 +84,19 @@ def catalog(clean: DataFrame, runs: DataFrame, roles, ranking: DataFrame | None
     if ranking is not None:
         out["effects"] = effects(ranking)
     return out
+
+
+def model_catalog(modeling: dict, scored: dict[str, DataFrame], roles) -> dict[str, DataFrame]:
+    """ROC and precision-recall points of every model, and the best one's confusion matrix at its threshold."""
+    out, best = {}, modeling["best_model"]
+    lines = [curves(df, roles.label, "score").withColumn("model", F.lit(name)) for name, df in scored.items()]
+    if lines:
+        out["model_curves"] = functools.reduce(DataFrame.unionByName, lines)
+        hit = F.col("score") >= modeling["models"][best]["threshold"]["threshold"]
+        out["confusion"] = evaluate.confusion(scored[best], roles.label, hit).select(F.lit(best).alias("model"), "tn", "fp", "fn", "tp")
+    return out
+
+
+def regression_catalog(predicted: dict[str, DataFrame], target: str) -> dict[str, DataFrame]:
+    """A grid of actual and predicted values for each model of one target."""
+    return {f"actual_{name}": predicted_vs_actual(df, target, "prediction") for name, df in predicted.items() if name.startswith(f"{target}_")}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestat import cli
-from lodestat.operators import integrate, significance
+from lodestat.operators import integrate, models, significance
 from lodestat.plans import report
 from lodestat.sources import synth, tables
 
@@ -120,3 +120,23 @@ def test_arguments_without_a_command(monkeypatch):
 
 def test_info_tells_the_settings():
     assert "seed: 20240617" in cli.info() and "furnace_temp_c: 1420.0 to 1580.0" in cli.info()
+
+
+def test_frames_of_the_figures(spark, wide):
+    from lodestat.plans import plotdata
+    from lodestat.schema import DEFAULT
+
+    clean, _ = integrate.clean(wide)
+    clean = clean.cache()
+    scored, predicted = {}, {}
+    got = models.run_modeling(clean, names=["logistic_regression"], cv=False, frames=scored)
+    drawn = plotdata.model_catalog(got, scored, DEFAULT)
+    cells, test = drawn["confusion"].first(), got["models"]["logistic_regression"]["test"]
+    assert cells["model"] == "logistic_regression" and sum(cells[c] for c in ("tn", "fp", "fn", "tp")) == test["n"]
+    assert cells["tp"] / (cells["tp"] + cells["fn"]) == pytest.approx(test["recall"]) and cells["tp"] / (cells["tp"] + cells["fp"]) == pytest.approx(test["precision"])
+    last = drawn["model_curves"].orderBy("score").first()
+    assert last["recall"] == 1 and last["false_positive_rate"] == 1
+    target = DEFAULT.measured[0]
+    found = models.fit_target(clean, target, rounds=2, frames=predicted)
+    grids = plotdata.regression_catalog(predicted, target)
+    assert len(grids) == 2 and all(df.agg(F.sum("n")).first()[0] == found["models"][name.removeprefix(f"actual_{target}_")]["n"] for name, df in grids.items())
