@@ -358,6 +358,34 @@ def _stride(n: int) -> int:
     return step
 
 
+#: Places of a window's pieces: those of a length with ranks from rank0 to rank1 lie, many to a sequence, from sequence0 on at offset0.
+PLACES = T.StructType([T.StructField(f"p_{x}", T.LongType()) for x in ("window", "length", "rank0", "rank1", "many", "sequence0", "offset0", "all", "stride")])
+
+
+def _placer(capacity: int, ordered: bool):
+    """One window's histogram (window, length, n) to its PLACES; a task's work depends on the number of different lengths alone."""
+    names = PLACES.names
+
+    def place(histogram: pa.Table) -> pa.Table:
+        window = histogram.column("window")[0].as_py()
+        of = dict(zip(histogram.column("length").to_pylist(), histogram.column("n").to_pylist(), strict=True))
+        found, said = programmed(of, capacity)
+        print(f"packing: window {window}, {said['pieces']} pieces of {said['lengths']} lengths, share placed by the program {said['placed']:.4f}", file=sys.stderr)
+        rows, sequence, before, many_here = [], 0, Counter(), sum(n for _, n in found)
+        stride = _stride(many_here) if ordered else 1
+        for one, n in found:
+            offset = 0
+            for length, many in sorted(one.items(), reverse=True):
+                rows.append((window, length, before[length], before[length] + many * n, many, sequence, offset, many_here, stride))
+                before[length] += many * n
+                offset += length * many
+            sequence += n
+        assert before == Counter(of), "every piece has a place"
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+
+    return place
+
+
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, ordered: bool = False) -> DataFrame:
     """One row per piece with its sequence and offset.
 
@@ -375,26 +403,15 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
         pieces = pieces.join(F.broadcast(own), "run")  # a row per TOGETHER rows of a file
     else:
         pieces = pieces.withColumn("window", F.lit(0))
-    histograms: dict[int, dict[int, int]] = {}
-    for r in pieces.groupBy("window", "length").agg(F.count(F.lit(1)).alias("n")).collect():
-        histograms.setdefault(r["window"], {})[r["length"]] = r["n"]
-    rows, first = [], 0
-    for window, histogram in sorted(histograms.items()):
-        found, said = programmed(histogram, capacity)
-        print(f"packing: window {window}, {said['pieces']} pieces of {said['lengths']} lengths, share placed by the program {said['placed']:.4f}", file=sys.stderr)
-        sequence, before, many_here = 0, Counter(), sum(n for _, n in found)
-        stride = _stride(many_here) if ordered else 1
-        for one, n in found:
-            offset = 0
-            for length, many in sorted(one.items(), reverse=True):
-                rows.append((window, length, before[length], before[length] + many * n, many, sequence, offset, first, many_here, stride))
-                before[length] += many * n
-                offset += length * many
-            sequence += n
-        assert before == Counter(histogram), "every piece has a place"
-        first += sequence
-    names = ("window", "length", "rank0", "rank1", "many", "sequence0", "offset0", "first", "all", "stride")
-    places = spark.createDataFrame(rows, T.StructType([T.StructField(f"p_{x}", T.LongType()) for x in names]))
+    counts = pieces.groupBy("window", "length").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.repartitionByRange(WINDOWS, "window")  # a task for each window: their tables are small, the work on them isn't
+    found = durable(counts.groupBy("window").applyInArrow(_placer(capacity, ordered), PLACES), "places")
+    # a row per window, then its rows of lengths and configurations: neither grows with the corpus
+    first, starts = 0, []
+    for r in found.groupBy("p_window").agg(F.max("p_all").alias("n")).orderBy("p_window").collect():
+        starts.append((r["p_window"], first))
+        first += r["n"]
+    places = found.join(F.broadcast(spark.createDataFrame(starts, "p_window long, p_first long")), "p_window")
     own = ranked(pieces, ["window", "length"], ["doc_id", "piece", "start", "ids_crc32"], ["doc_id", "piece"], few_keys=True)
     # its rows are bounded by the lengths in a configuration, not by the corpus
     same = (F.col("window") == F.col("p_window")) & (F.col("length") == F.col("p_length"))
