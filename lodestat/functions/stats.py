@@ -232,16 +232,18 @@ def mutual_information(flat: DataFrame, by: Sequence[str], x: str, y: str) -> Da
     return cells.groupBy(*by).agg(F.greatest(F.lit(0.0), F.sum(F.col("o") / F.col("n") * F.log(F.col("o") * F.col("n") / (F.col("r") * F.col("c"))))).alias("mi"))
 
 
-def neighbour_information(flat: DataFrame, x: str, y: str, k: int = 3) -> float | None:
-    """Ross's estimate of the information between a continuous x and a discrete y: the distance to the k-th neighbour of the same
-    class, and how many of any class lie within it. Neighbours in one dimension are neighbours in order, so windows over the
-    distinct values of a class find them (a factor has few: one per cluster)."""
-    rows = flat.select(finite(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
-    hist = rows.groupBy("y", "x").agg(F.count(F.lit(1)).alias("t")).withColumn("m", F.sum("t").over(Window.partitionBy("y")))
-    total = hist.agg(F.sum("t").alias("n"), F.countDistinct("y").alias("classes")).first()
-    if not total["n"] or total["n"] < 3 or total["classes"] < 2:
-        return None
-    order = Window.partitionBy("y").orderBy("x")
+def neighbour_information(flat: DataFrame, by: Sequence[str], x: str, y: str, k: int = 3) -> dict[tuple, float]:
+    """Ross's estimate of the information between a continuous x and a discrete y, for each by: the distance to the k-th neighbour of the
+    same class, and how many of any class lie within it. Neighbours in one dimension are neighbours in order, so windows over the
+    distinct values of a class find them (a factor has few: one per cluster). All of by share one plan; those with fewer than
+    three rows, or one class, are left out."""
+    by = list(by)
+    rows = flat.select(*by, finite(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
+    hist = rows.groupBy(*by, "y", "x").agg(F.count(F.lit(1)).alias("t"))
+    total = hist.groupBy(*by, "y").agg(F.sum("t").alias("m"))
+    enough = total.groupBy(*by).agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("classes")).where("n >= 3 and classes >= 2").select(*by)
+    hist = hist.join(total, [*by, "y"]).join(enough, by).persist()
+    order = Window.partitionBy(*by, "y").orderBy("x")
     near = []
     for i in range(1, k + 1):
         for move in (F.lag, F.lead):
@@ -251,15 +253,22 @@ def neighbour_information(flat: DataFrame, x: str, y: str, k: int = 3) -> float
     r = r.withColumn("r", F.expr(walk)).withColumn("k", F.when(F.col("r") == 0, F.col("t") - 1).otherwise(F.col("need")))
     # neighbours on the edge don't count as within, ties do
     inner = F.col("r") * (1 - 1e-9)
-    edges = r.select("t", "m", "k", (F.col("x") - inner).alias("lo"), (F.col("x") + inner).alias("hi"))
-    marks = hist.select("x", "t").unionByName(edges.select(F.explode(F.array("lo", "hi")).alias("x"), F.lit(0).cast("long").alias("t")))
-    cum = prefix.running(marks.groupBy("x").agg(F.sum("t").alias("t")).withColumn("g", F.lit(1)), ["g"], "x", ["t"])
-    below, upto = cum.select(F.col("x").alias("lo"), F.col("t__before").alias("below")), cum.select(F.col("x").alias("hi"), (F.col("t__before") + F.col("t")).alias("upto"))
-    counts = edges.join(below, "lo").join(upto, "hi")
+    edges = r.select(*by, "t", "m", "k", (F.col("x") - inner).alias("lo"), (F.col("x") + inner).alias("hi"))
+    marks = hist.select(*by, "x", "t").unionByName(edges.select(*by, F.explode(F.array("lo", "hi")).alias("x"), F.lit(0).cast("long").alias("t")))
+    cum = prefix.running(marks.groupBy(*by, "x").agg(F.sum("t").alias("t")), by, "x", ["t"]).persist()
+    below, upto = cum.select(*by, F.col("x").alias("lo"), F.col("t__before").alias("below")), cum.select(*by, F.col("x").alias("hi"), (F.col("t__before") + F.col("t")).alias("upto"))
+    counts = edges.join(below, [*by, "lo"]).join(upto, [*by, "hi"])
     # digamma of small integers many times over: count them first
-    small = counts.select((F.col("upto") - F.col("below")).alias("c"), "k", "m", "t").groupBy("c", "k", "m").agg(F.sum("t").alias("n")).collect()
-    n = sum(s["n"] for s in small)
-    if not n:
-        return None
-    mean = sum(s["n"] * (special.digamma(s["k"]) - special.digamma(s["m"]) - special.digamma(max(s["c"], 1))) for s in small) / n
-    return max(0.0, special.digamma(n) + mean)
+    small = counts.select(*by, (F.col("upto") - F.col("below")).alias("c"), "k", "m", "t").groupBy(*by, "c", "k", "m").agg(F.sum("t").alias("n"))
+    try:
+        small = small.collect()
+    finally:
+        cum.unpersist()
+        hist.unpersist()
+    n: dict[tuple, int] = {}
+    sums: dict[tuple, float] = {}
+    for s in small:
+        one = tuple(s[c] for c in by)
+        n[one] = n.get(one, 0) + s["n"]
+        sums[one] = sums.get(one, 0.0) + s["n"] * (special.digamma(s["k"]) - special.digamma(s["m"]) - special.digamma(max(s["c"], 1)))
+    return {one: max(0.0, special.digamma(n[one]) + sums[one] / n[one]) for one in n}

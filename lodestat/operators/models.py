@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import jobs
 from ..functions.stats import finite
 from ..schema import CV_FOLDS, DEFAULT, SEED, QualitySchema
 from . import evaluate
@@ -118,10 +119,9 @@ def shuffled(df: DataFrame, column: str, key: Sequence[str], seed: int) -> DataF
 def permutation_importance(predict, df: DataFrame, label: str, features: Sequence[str], key: Sequence[str], seed: int = SEED, repeats: int = 5) -> list[dict]:
     """Drop of average precision when a feature's values are shuffled; predict adds score."""
     ap = lambda d: evaluate.ranking_metrics(predict(d), label, "score").first()["average_precision"]
-    base, out = ap(df), []
-    for f in features:
-        drops = [base - ap(shuffled(df, f, key, seed + 2 * r)) for r in range(repeats)]
-        out.append({"feature": f, "importance": sum(drops) / repeats, "direction": None})
+    base, tries = ap(df), [(f, r) for f in features for r in range(repeats)]
+    got = dict(zip(tries, jobs.each(lambda t: base - ap(shuffled(df, t[0], key, seed + 2 * t[1])), tries), strict=True))
+    out = [{"feature": f, "importance": sum(got[f, r] for r in range(repeats)) / repeats, "direction": None} for f in features]
     return sorted(out, key=lambda r: (-r["importance"], r["feature"]))
 
 

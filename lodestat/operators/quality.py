@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import prefix, special
+from ..functions import jobs, prefix, special
 from ..schema import BASELINE_SHARE, DEFAULT, DRIFT_BINS, DRIFT_KS_ALPHA, DRIFT_KS_STATISTIC, DRIFT_PSI, DRIFT_WATCH, NEAR_CONSTANT, QualitySchema
 
 
@@ -212,14 +212,16 @@ def run_quality_checks(wide: DataFrame, roles: QualitySchema = DEFAULT, perf: Da
     """All checks over one frame, each a small result on the driver."""
     table = lambda df: [r.asDict() for r in df.collect()]
     marked, info = baseline(wide, roles, baseline_batch)
-    return {
-        "n_rows": wide.count(), "n_columns": len(wide.columns), "missing_by_column": table(missing_by_column(wide)), "missing_by_row": {r["n_missing"]: r["n_rows"] for r in missing_by_row(wide).collect()},
-        "out_of_range": table(out_of_range(wide, roles.limits, key or roles.unit)), "duplicates": table(duplicates(wide, (roles.batch, roles.run, roles.unit))),
-        "perf_fanout": fanout_summary(perf, roles.unit) if perf is not None else None, "constant_columns": table(constant_columns(wide)),
-        "drift": drift_report(marked, [c for c in roles.numeric + roles.measured if c in wide.columns], "is_baseline"), "baseline_info": info,
-        "class_balance": table(class_balance(wide, roles.label))[0] if roles.label in wide.columns else {"present": False},
-        "dtype_issues": table(dtype_issues(wide, roles.numeric + roles.measured)),
+    measured = [c for c in roles.numeric + roles.measured if c in wide.columns]
+    checks: dict[str, Callable[[], object]] = {
+        "n_rows": wide.count, "missing_by_column": lambda: table(missing_by_column(wide)), "missing_by_row": lambda: {r["n_missing"]: r["n_rows"] for r in missing_by_row(wide).collect()},
+        "out_of_range": lambda: table(out_of_range(wide, roles.limits, key or roles.unit)), "duplicates": lambda: table(duplicates(wide, (roles.batch, roles.run, roles.unit))),
+        "perf_fanout": lambda: fanout_summary(perf, roles.unit) if perf is not None else None, "constant_columns": lambda: table(constant_columns(wide)),
+        "drift": lambda: drift_report(marked, measured, "is_baseline"),
+        "class_balance": lambda: table(class_balance(wide, roles.label))[0] if roles.label in wide.columns else {"present": False},
+        "dtype_issues": lambda: table(dtype_issues(wide, roles.numeric + roles.measured)),
     }
+    return dict(zip(checks, jobs.each(lambda check: check(), checks.values()), strict=True)) | {"n_columns": len(wide.columns), "baseline_info": info}
 
 
 def summarize_quality(report: dict) -> dict:

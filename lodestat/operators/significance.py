@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import special, stats
+from ..functions import jobs, special, stats
 from ..schema import ALPHA, DEFAULT, N_PERM, SEED, QualitySchema
 from . import quality
 
@@ -54,15 +54,17 @@ def supplementary_tests(df: DataFrame, factors: Sequence[str], label: str, roles
 
 def cluster_tests(df: DataFrame, factors: Sequence[str], label: str, cluster: Callable[[str], str], n_perm: int = N_PERM, seed: int = SEED, roles: QualitySchema = DEFAULT, effects: dict[str, float] | None = None) -> list[tuple]:
     """Permutations of the factor between the clusters in which it is constant; each factor has its own seed."""
-    rows = []
-    for i, f in enumerate(factors):
+    columns = {*df.columns}
+
+    def one(at: tuple[int, str]) -> tuple:
+        i, f = at
         kind, key = factor_kind(df, f, roles), cluster(f)
-        if key not in df.columns:
-            rows.append(_row("unit_cluster", "primary", f, kind, "unavailable", note=f"no {key}"))
-            continue
+        if key not in columns:
+            return _row("unit_cluster", "primary", f, kind, "unavailable", note=f"no {key}")
         got = stats.cluster_permutation(df, key, f, label, n_perm, seed + i, kind)
-        rows.append(_row("unit_cluster", "primary", f, kind, "cluster_permutation", got["statistic"], (effects or {}).get(f), got["p_value"], got["n_clusters"], None, got["note"]))
-    return rows
+        return _row("unit_cluster", "primary", f, kind, "cluster_permutation", got["statistic"], (effects or {}).get(f), got["p_value"], got["n_clusters"], None, got["note"])
+
+    return jobs.each(one, enumerate(factors))
 
 
 def level_tests(rollups: dict[str, DataFrame | None], factors: Sequence[str], cluster: Callable[[str], str], kinds: Callable[[str], str], outcome: str = "fail_rate") -> list[tuple]:
@@ -98,9 +100,8 @@ def mutual_information_scores(df: DataFrame, factors: Sequence[str], label: str,
     if categorical:
         flat = _flat(df, categorical, label, "string")
         out |= {r["factor"]: r["mi"] for r in stats.mutual_information(flat, ["factor"], "value", label).collect()}
-    for f in factors:
-        if f not in categorical:
-            out[f] = stats.neighbour_information(df.where(F.col(label).isin(0, 1)), f, label)
+    if numeric := [f for f in factors if f not in categorical]:
+        out |= {f: v for (f,), v in stats.neighbour_information(_flat(df, numeric, label, "double"), ["factor"], "value", label).items()}
     return out
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestat.functions import special, stats
+from lodestat.functions import jobs, special, stats
 
 
 def test_special_functions():
@@ -81,8 +81,22 @@ def test_cluster_permutation(spark):
 
 def test_information(spark):
     df = spark.range(600).select(F.col("id").cast("double").alias("x"), (F.col("id") >= 300).cast("int").alias("y"), (F.col("id") % 2).cast("int").alias("z"))
-    assert stats.neighbour_information(df, "x", "y") == pytest.approx(math.log(2), abs=0.05)
-    assert stats.neighbour_information(df, "x", "z") < 0.05
-    assert stats.neighbour_information(df.limit(2), "x", "y") is None
+    both = df.select("x", F.explode(F.array(F.struct(F.lit("y").alias("f"), F.col("y").alias("c")), F.struct(F.lit("z").alias("f"), F.col("z").alias("c")))).alias("p")).select("p.f", "p.c", "x")
+    got = stats.neighbour_information(both, ["f"], "x", "c")
+    assert got["y",] == pytest.approx(math.log(2), abs=0.05) and got["z",] < 0.05
+    few = both.where("f = 'y' or x < 2")
+    assert stats.neighbour_information(few, ["f"], "x", "c") == {("y",): pytest.approx(got["y",])}, "a group doesn't depend on the others"
+    assert stats.neighbour_information(both.where("x < 300 and f = 'y'"), ["f"], "x", "c") == {}, "a single class"
+
+
+def test_jobs_side_by_side(spark):
+    assert jobs.each(lambda n: spark.range(n).count(), [3, 1, 2]) == [3, 1, 2]
+    assert jobs.each(str, []) == []
+    with pytest.raises(ZeroDivisionError):
+        jobs.each(lambda n: 1 // n, [1, 0])
+
+
+def test_discrete_information(spark):
+    df = spark.range(600).select((F.col("id") >= 300).cast("int").alias("y"))
     r = stats.mutual_information(df.withColumn("f", F.lit(1)), ["f"], "y", "y").first()
     assert r["mi"] == pytest.approx(math.log(2))
