@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +33,13 @@ def oracle_sql() -> dict[str, str]:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, the same way in both engines, whose round() differ."""
-    return df.select(*[(F.floor(F.col(f"`{f.name}`") * 1e6 + 0.5) / 1e6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema])
+    """Doubles to six places, the same way in both engines, whose round() differ. Spark's floor() is a long: from 2^53 on, where doubles are whole, the number stands for itself."""
+
+    def one(x: Column) -> Column:
+        y = x * 1e6 + 0.5
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y) / 1e6
+
+    return df.select(*[one(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema])
 
 
 def _query(sql: str | None = None, doubles: str = "", others: str = ""):

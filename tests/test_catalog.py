@@ -49,3 +49,13 @@ def test_registered_queries_keep_the_operators_defaults(spark):
     own = own.replace("n_perm=1)", "")  # the statistic alone, which no permutation changes
     assert not re.search(r"\b(trees|rounds|repeats|n_perm|starts)=[0-9]|information=False", own)
     assert models.classifier("random_forest", 100, 4).getMaxDepth() == 30
+
+
+def test_large_doubles_keep_their_size_when_rounded(spark, db):
+    """4e17 rows' ties, 1.4e14 of U: floor() to a long stopped at 9.22e12."""
+    many = [4.3e17, 1.4e14 + 0.5, 9.3e12, -4.3e17, 1234567.1234567, -0.0000014, 0.0]
+    got = [r["x"] for r in catalog.rounded(spark.createDataFrame([(x,) for x in many], "x double")).collect()]
+    assert got == [db.sql(f"SELECT CAST(floor(CAST({x!r} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS DOUBLE)").fetchall()[0][0] for x in many]
+    assert got[0] == pytest.approx(4.3e17, rel=1e-12)
+    whole = catalog.rounded(spark.createDataFrame([(float("inf"),), (float("nan"),), (None,)], "x double")).collect()
+    assert whole[0]["x"] == float("inf") and whole[1]["x"] != whole[1]["x"] and whole[2]["x"] is None
