@@ -78,14 +78,19 @@ def mean_diff_ci(row: dict, alpha: float = 0.05) -> tuple[float, float] | None:
     return welch_ttest(row, alpha)["ci95"]
 
 
+def tied(t: Column) -> Column:
+    """t^3 - t of a count, as a double: the cube of 2.1 million rows is beyond a long."""
+    t = t.cast("double")
+    return t * (t * t - 1)
+
+
 def mann_whitney_u(flat: DataFrame, by: Sequence[str], side: str, value: str = "value") -> DataFrame:
     """by, n_a, n_b, u (of the rows with side), ties (sum of t^3 - t), rank_biserial. Ranks come from counts of distinct values."""
     rows = flat.withColumn("__v", finite(value)).where("__v is not null")
     hist = rows.groupBy(*by, "__v").agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
     run = prefix.running(hist, by, "__v", ["b"])
-    t = F.col("a") + F.col("b")
-    out = run.groupBy(*by).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * (F.col("b__before") + F.col("b") / 2)).alias("u"), F.sum((t * t * t - t).cast("double")).alias("ties"))
-    return out.withColumn("rank_biserial", F.try_divide(2 * F.col("u"), (F.col("n_a") * F.col("n_b")).cast("double")) - 1)
+    out = run.groupBy(*by).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * (F.col("b__before") + F.col("b") / 2)).alias("u"), F.sum(tied(F.col("a") + F.col("b"))).alias("ties"))
+    return out.withColumn("rank_biserial", F.try_divide(2 * F.col("u"), F.col("n_a").cast("double") * F.col("n_b")) - 1)
 
 
 def mann_whitney_p(u: float | None, n_a: int, n_b: int, ties: float) -> float | None:
@@ -169,7 +174,7 @@ def kruskal(flat: DataFrame, by: Sequence[str], group: str, value: str) -> DataF
     """by, n, n_groups, h (tie corrected), dof, effect = max(0, (h - k + 1) / (n - k))."""
     rows = flat.select(*by, F.col(group).alias("__g"), finite(value).alias("__v")).where("__g is not null and __v is not null")
     ranked = average_ranks(rows, by, "__v", "__r")
-    ties = rows.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("t")).groupBy(*by).agg(F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("ties"))
+    ties = rows.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("t")).groupBy(*by).agg(F.sum(tied(F.col("t"))).alias("ties"))
     groups = ranked.groupBy(*by, "__g").agg(F.count(F.lit(1)).alias("n"), F.sum("__r").alias("s"))
     got = groups.groupBy(*by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q")).join(ties, list(by))
     n = F.col("n").cast("double")

@@ -39,6 +39,13 @@ def test_mann_whitney(spark):
     assert stats.mann_whitney_p(same["u"], 20, 20, same["ties"]) is None
 
 
+def test_ties_beyond_a_long(spark):
+    """Four million equal values: the cube of their number is no long any more."""
+    t = 4_000_000
+    r = stats.mann_whitney_u(spark.range(t).select(F.lit("f").alias("factor"), F.lit(1.0).alias("value"), (F.col("id") % 2 == 0).alias("a")), ["factor"], "a").first()
+    assert r["ties"] == pytest.approx(float(t**3 - t), rel=1e-15) and r["u"] == t * t / 8 and r["rank_biserial"] == 0
+
+
 def test_welch_and_cohen(spark):
     row = stats.two_groups(flat(spark, [5, 6, 7, 8], [1, 2, 3, 4]), ["factor"], "a")
     assert row.select(stats.cohens_d().alias("d")).first()["d"] == pytest.approx(4 / math.sqrt(5 / 3))
