@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import jobs
 from ..functions.stats import finite
 from ..schema import CV_FOLDS, DEFAULT, SEED, QualitySchema
-from . import evaluate
+from . import cells, evaluate
 
+#: Learned from counts of like rows while those are few, else by Spark ML from rows.
+COUNTED = ("random_forest",)
 MODELS = ("logistic_regression", "random_forest", "hist_gradient_boosting", "mlp_classifier")
 
 
@@ -92,8 +94,12 @@ def scored(name: str, train: DataFrame, others: Sequence[DataFrame], label: str,
         return [o.withColumn("score", F.lit(p)) for o in others], None, names, make
     if name == "mlp_classifier":
         rows, _ = oversampled(rows, label, key, seed)
-    data = balanced(make(rows), label).withColumn("y", F.col(label).cast("double"))
-    model = classifier(name, rows.count(), len(names), seed, trees, rounds).fit(data)
+    found = cells.counted(rows, label, [*numeric, *categorical], make) if name in COUNTED else None
+    if found is not None:
+        model = cells.fitted(rows.sparkSession, classifier(name, int(found[1].sum()), len(names), seed, trees, rounds), *found)
+    else:
+        data = balanced(make(rows), label).withColumn("y", F.col(label).cast("double"))
+        model = classifier(name, rows.count(), len(names), seed, trees, rounds).fit(data)
     return [model.transform(make(o)).withColumn("score", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction") for o in others], model, names, make
 
 
