@@ -60,3 +60,13 @@ def test_one_tree_by_brute_force():
     assert (feature[0], cut[0]) == best[1:] and list(left) == [1, 0, 0]
     m = bins[:, feature[0]] <= cut[0]
     assert out[m] == pytest.approx(s[m].sum() / n[m].sum()) and value[2] == pytest.approx(s[~m].sum() / n[~m].sum())
+
+
+def test_boosted_trees_equal_those_of_spark(rows, monkeypatch):
+    got, model, _ = learned("hist_gradient_boosting", rows, rounds=6)
+    assert isinstance(model, cells.Model)
+    monkeypatch.setattr(cells, "CELLS", 50)
+    plain, spark_model, _ = learned("hist_gradient_boosting", rows, rounds=6)
+    assert not isinstance(spark_model, cells.Model)
+    both = got.select("id", "score").join(plain.select("id", F.col("score").alias("other")), "id").collect()
+    assert len(both) == 1000 and all(r["score"] == pytest.approx(r["other"], abs=1e-6) for r in both)
