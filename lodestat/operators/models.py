@@ -18,7 +18,7 @@ from ..schema import CV_FOLDS, DEFAULT, SEED, QualitySchema
 from . import cells, evaluate
 
 #: Learned from counts of like rows while those are few, else by Spark ML from rows.
-COUNTED = ("random_forest", "hist_gradient_boosting")
+COUNTED = ("random_forest", "hist_gradient_boosting", "mlp_classifier")
 MODELS = ("logistic_regression", "random_forest", "hist_gradient_boosting", "mlp_classifier")
 
 

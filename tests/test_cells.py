@@ -70,3 +70,19 @@ def test_boosted_trees_equal_those_of_spark(rows, monkeypatch):
     assert not isinstance(spark_model, cells.Model)
     both = got.select("id", "score").join(plain.select("id", F.col("score").alias("other")), "id").collect()
     assert len(both) == 1000 and all(r["score"] == pytest.approx(r["other"], abs=1e-6) for r in both)
+
+
+def test_network_of_counts(rows, monkeypatch):
+    got, model, _ = learned("mlp_classifier", rows, rounds=60)
+    assert isinstance(model, cells.Model) and not hasattr(model, "featureImportances")
+    monkeypatch.setattr(cells, "CELLS", 50)
+    plain, spark_model, _ = learned("mlp_classifier", rows, rounds=60)
+    assert not isinstance(spark_model, cells.Model) and ap(got) == pytest.approx(ap(plain), abs=0.03)
+
+
+def test_least_of_a_valley():
+    def loss(p):
+        a, b = p
+        return (1 - a) ** 2 + 100 * (b - a * a) ** 2, np.array([-2 * (1 - a) - 400 * a * (b - a * a), 200 * (b - a * a)])
+
+    assert cells.lbfgs(loss, np.array([-1.2, 1.0]), 200, 1e-12) == pytest.approx([1, 1], abs=1e-5)
