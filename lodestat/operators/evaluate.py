@@ -37,17 +37,18 @@ def folds(df: DataFrame, label: str, key: tuple[str, ...], seed: int = SEED, k:
     return shares(df, label, key, seed).withColumn("fold", (F.col("__i") % k).cast("int")).drop("__i", "__n")
 
 
-def curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Per distinct score: pos and neg rows at it, and tp, fp: the rows at or above it."""
+def curve(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
+    """Per distinct score: pos and neg rows at it, and tp, fp: the rows at or above it. weight: how many rows a row stands for."""
     ok = df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull())
-    hist = ok.groupBy((-F.col(score).cast("double")).alias("__s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")).withColumn("__g", F.lit(1))
+    n = lambda y: F.coalesce(F.sum(F.when(F.col(label) == y, F.col(weight))), F.lit(0)) if weight else F.count_if(F.col(label) == y)
+    hist = ok.groupBy((-F.col(score).cast("double")).alias("__s")).agg(n(1).alias("pos"), n(0).alias("neg")).withColumn("__g", F.lit(1))
     run = prefix.running(hist, ["__g"], "__s", ["pos", "neg"])
     return run.select((-F.col("__s")).alias("score"), "pos", "neg", (F.col("pos__before") + F.col("pos")).alias("tp"), (F.col("neg__before") + F.col("neg")).alias("fp"))
 
 
-def ranking_metrics(df: DataFrame, label: str, score: str) -> DataFrame:
+def ranking_metrics(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
     """n_pos, n_neg, average_precision (steps, no trapezoids), roc_auc (ties averaged), brier; null where a class is missing."""
-    c = curve(df, label, score)
+    c = curve(df, label, score, weight)
     p = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
     area = F.col("neg") * (F.col("tp") - F.col("pos") / 2)
     loss = F.col("pos") * (1 - F.col("score")) * (1 - F.col("score")) + F.col("neg") * F.col("score") * F.col("score")

@@ -122,11 +122,22 @@ def shuffled(df: DataFrame, column: str, key: Sequence[str], seed: int) -> DataF
     return a.join(b, F.col("__i") == F.col("__j")).drop("__i", "__j")
 
 
-def permutation_importance(predict, df: DataFrame, label: str, features: Sequence[str], key: Sequence[str], seed: int = SEED, repeats: int = 5) -> list[dict]:
-    """Drop of average precision when a feature's values are shuffled; predict adds score."""
-    ap = lambda d: evaluate.ranking_metrics(predict(d), label, "score").first()["average_precision"]
-    base, tries = ap(df), [(f, r) for f in features for r in range(repeats)]
-    got = dict(zip(tries, jobs.each(lambda t: base - ap(shuffled(df, t[0], key, seed + 2 * t[1])), tries), strict=True))
+def permutation_importance(predict, df: DataFrame, label: str, features: Sequence[str], key: Sequence[str], seed: int = SEED, repeats: int = 5, reads: Sequence[str] = ()) -> list[dict]:
+    """Drop of average precision when a feature's values are shuffled; predict adds score, from the features and the columns in reads alone.
+
+    Rows that are alike in those and the label are counted, if there are few such cells: a shuffle of all rows then is a draw of the
+    table of cells by values with both margins fixed. Else rows are dealt out by place.
+    """
+    ap = lambda d, n=None: evaluate.ranking_metrics(predict(d), label, "score", n).first()["average_precision"]
+    counted, tries = cells.tally(df, [*dict.fromkeys([*features, *reads]), label]), [(f, r) for f in features for r in range(repeats)]
+    base = ap(df) if counted is None else ap(df.sparkSession.createDataFrame(counted), cells.TIMES)
+
+    def drop(t: tuple[str, int]) -> float:
+        f, r = t
+        dealt = None if counted is None else cells.dealt(counted, f, (seed, r, *f.encode()))
+        return base - (ap(shuffled(df, f, key, seed + 2 * r)) if dealt is None else ap(df.sparkSession.createDataFrame(dealt), cells.TIMES))
+
+    got = dict(zip(tries, jobs.each(drop, tries), strict=True))
     out = [{"feature": f, "importance": sum(got[f, r] for r in range(repeats)) / repeats, "direction": None} for f in features]
     return sorted(out, key=lambda r: (-r["importance"], r["feature"]))
 

@@ -86,3 +86,24 @@ def test_least_of_a_valley():
         return (1 - a) ** 2 + 100 * (b - a * a) ** 2, np.array([-2 * (1 - a) - 400 * a * (b - a * a), 200 * (b - a * a)])
 
     assert cells.lbfgs(loss, np.array([-1.2, 1.0]), 200, 1e-12) == pytest.approx([1, 1], abs=1e-5)
+
+
+def test_shuffled_counts_keep_both_margins(spark, rows):
+    counted = cells.tally(rows, ["u", "z", "label"])
+    out = cells.dealt(counted, "u", (1, 2))
+    a, b = counted.to_pandas(), out.to_pandas()
+    for of in (["u"], ["z", "label"]):
+        assert a.groupby(of)["cell_n"].sum().to_dict() == b.groupby(of)["cell_n"].sum().to_dict()
+    assert abs(b[b.u >= 5].groupby("label")["cell_n"].sum()[1] / 4000 - (a.cell_n[a.u >= 5].sum() / 4000) * (a.cell_n[a.label == 1].sum() / 4000)) < 0.03
+
+
+def test_importance_of_counts_and_of_rows(spark, rows, monkeypatch):
+    """Alike to within chance; a feature that the score doesn't read has none."""
+    predict = lambda d: d.withColumn("score", F.col("u") / 10)
+    calls = []
+    monkeypatch.setattr(models, "shuffled", lambda *a, f=models.shuffled: calls.append(1) or f(*a))
+    got = {r["feature"]: r["importance"] for r in models.permutation_importance(predict, rows, "label", ("u", "y"), ("id",))}
+    assert not calls and got["y"] == pytest.approx(0, abs=1e-12)
+    monkeypatch.setattr(cells, "CELLS", 50)
+    want = {r["feature"]: r["importance"] for r in models.permutation_importance(predict, rows, "label", ("u", "y"), ("id",))}
+    assert len(calls) == 10 and got["u"] == pytest.approx(want["u"], abs=0.03) and got["u"] > 0.1
